@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from corvane.llm import quality
+from corvane.llm import bpe, chat, quality, topk
 
 QUERIES = {
+    "op4_byte_bpe": bpe.query,
+    "op5_chat_windows": chat.query,
     "op8_quality_rules": quality.query,
+    "op9_exact_topk": topk.query,
 }
 ORACLES = {
+    "op5_chat_windows": chat.sql(),
     "op8_quality_rules": quality.sql(),
+    "op9_exact_topk": topk.sql(),
 }
