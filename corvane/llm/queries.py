@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, quality, topk
+from corvane.llm import bpe, chat, langid, quality, topk
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op5_chat_windows": chat.query,
+    "op7_language": langid.query,
     "op8_quality_rules": quality.query,
     "op9_exact_topk": topk.query,
 }
