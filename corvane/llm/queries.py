@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, langid, quality, topk
+from corvane.llm import bpe, chat, langid, quality, simhash, topk
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_language": langid.query,
     "op8_quality_rules": quality.query,
     "op9_exact_topk": topk.query,
+    "op10_simhash": simhash.query,
 }
 ORACLES = {
     "op5_chat_windows": chat.sql(),
