@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, langid, quality, simhash, topk
+from corvane.llm import bpe, chat, langid, packing, quality, simhash, topk
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op4_byte_bpe": bpe.query,
     "op5_chat_windows": chat.query,
     "op7_language": langid.query,
