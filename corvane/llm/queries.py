@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, langid, packing, quality, simhash, topk
+from corvane.llm import bpe, chat, langid, packing, quality, simhash, topk, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
     "op3_packing": packing.query,
     "op4_byte_bpe": bpe.query,
     "op5_chat_windows": chat.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_simhash": simhash.query,
 }
 ORACLES = {
+    "op2_warc": warc.sql(),
     "op5_chat_windows": chat.sql(),
     "op8_quality_rules": quality.sql(),
     "op9_exact_topk": topk.sql(),
