@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, langid, packing, quality, simhash, topk, warc
+from corvane.llm import bpe, chat, langid, packing, pii, quality, simhash, topk, warc
 
 QUERIES = {
     "op2_warc": warc.query,
     "op3_packing": packing.query,
     "op4_byte_bpe": bpe.query,
     "op5_chat_windows": chat.query,
+    "op6_pii": pii.query,
     "op7_language": langid.query,
     "op8_quality_rules": quality.query,
     "op9_exact_topk": topk.query,
