@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, langid, packing, pii, quality, simhash, topk, warc
+from corvane.llm import bpe, chat, langid, lines, packing, pii, quality, simhash, topk, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_warc": warc.query,
     "op3_packing": packing.query,
     "op4_byte_bpe": bpe.query,
