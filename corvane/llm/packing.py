@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corvane.llm.common import WORD, fresh, table
+from corvane.llm.common import WORD, checkpoint, fresh, table
 
 #: Longest sequence, buckets, tokens a batch, sequences numbered by one task.
 MAX_LENGTH, BUCKETS, BUDGET, NUMBERED = 2048, 8, 65536, 50_000
@@ -72,7 +72,8 @@ def pack(rows: DataFrame, n_tokens: str = "n_tokens", buckets: int = BUCKETS, bu
     bucket_c, batch_c = fresh(rows, "bucket_length", "batch_id")
     length, part, n_in, shift, at, size, first = fresh(rows, "_length", "_part", "_n", "_shift", "_at", "_size", "_first")
     own = rows.columns
-    rows = rows.withColumn(length, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0).cast("long")))
+    # The histogram and the batches both need the lengths: they are counted once.
+    rows = checkpoint(rows.withColumn(length, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0).cast("long"))))
     histogram = rows.groupBy(length).count().orderBy(length).limit((1 << 16) + 1).collect()
     if len(histogram) > 1 << 16:
         raise ValueError("cut texts into sequences first: more than 65,536 distinct lengths")
