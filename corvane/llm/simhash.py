@@ -173,33 +173,40 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> Data
     return shard_links(small.unionByName(cut), radius)
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, radius: int) -> DataFrame:
+    """doc_id, th (hash of the text), fp, root (the component's smallest fingerprint), component_id for every row."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    rows = checkpoint(with_fingerprint(rows, "t", "fp", keep=False))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes, radius))
+    # Only groups of several fingerprints have a root; every other fingerprint is its own group.
+    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(grouped.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id.
 
     Documents are linked if their fingerprints differ in at most ``radius`` bits; component_id is the smallest doc_id that
     links reach. Equal fingerprints are taken together first, so a group of copies is one node. Null and empty texts have
-    the fingerprint zero and are linked like any other. Null ids never name a component unless it has no other; repeated
+    the fingerprint zero and are linked like any other. A component of null ids only has a null component_id; repeated
     rows stay; an empty table gives no rows.
     """
-    rows = checkpoint(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t", "fp", keep=False))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes, radius))
-    # Only groups of several fingerprints have a root; every other fingerprint is its own group.
-    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, doc_id, text, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row of the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates: of each component that with the smallest doc_id stays.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id stay only if their component has no other id.
+    Null ids come last, equal ids go by the hash of their texts, and of repeated rows one stays.
     """
-    found = near_duplicates(docs, doc_id, text, radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    found = _grouped(docs, doc_id, text, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
+    first = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th")).distinct()
+    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th")), "left_semi")
+    return kept.dropDuplicates([doc_id, text])
 
 
 def query(spark, sf_dir):
