@@ -88,15 +88,22 @@ def assemble_union(core_rows: DataFrame, pages: DataFrame, features: DataFrame,
     return out.where("cores > 0").drop("cores")
 
 
-def snapshot(events: DataFrame, union: bool = True) -> DataFrame:
-    """The 21 fields of every person after all of ``events`` (admitted, with canonical_id, event_ts and seq)."""
-    dated = events.crossJoin(F.broadcast(reference_date(events)))  # one row
-    closed = S.closed_metrics(S.closed_by_stream(events))
+def snapshot_at(events: DataFrame, today: DataFrame, watermark: DataFrame, union: bool = True) -> DataFrame:
+    """The 21 fields of every person in ``events``, as of a date and a watermark (single rows) that may be those of more events."""
+    dated = events.crossJoin(F.broadcast(today))  # one row
+    mark = watermark.toDF("_mark")
+    closed = S.windows(events).crossJoin(F.broadcast(mark)).where(F.col("window_end") <= F.col("_mark"))  # one row
     build = assemble_union if union else assemble
-    rows = build(core(dated, F.col("today")), top_items(events, "page_url", TOP_PAGES, "top_pages"), top_items(events, "feature_name", TOP_FEATURES, "top_features"), closed)
+    tops = (top_items(events, "page_url", TOP_PAGES, "top_pages"), top_items(events, "feature_name", TOP_FEATURES, "top_features"))
+    rows = build(core(dated, F.col("today")), *tops, S.closed_metrics(closed))
     return rows.select(*[f.name for f in PROFILE_RELEASE.fields if f.name != "action"])
 
 
+def snapshot(events: DataFrame, union: bool = True) -> DataFrame:
+    """The 21 fields of every person after all of ``events`` (admitted, with canonical_id, event_ts and seq)."""
+    return snapshot_at(events, reference_date(events), S.watermark_of(events), union)
+
+
 def with_action(new: DataFrame, old: DataFrame | None) -> DataFrame:
     """new with action: update where ``old`` has the key, else create."""
     if old is None:
