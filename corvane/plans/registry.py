@@ -529,3 +529,63 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     counts = raw_events(spark, sf_dir).groupBy("tenant_id", "event_type").agg(F.count("*").alias("n"))
     return counts.groupBy("tenant_id").agg(F.expr("listagg(concat(event_type, '=', cast(n as string)), ',') WITHIN GROUP (ORDER BY event_type)").alias("counts"))
+
+
+# --- the operators above, on the star schema -----------------------------------------------------------------------------
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("star_left_join_default", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def _(spark, sf_dir):
+    counts = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(counts, "c_custkey", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+
+
+@query("star_inner_join", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def _(spark, sf_dir):
+    # Nations are a closed list; counted before the join, one row a nation is joined.
+    counts = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    return counts.join(_t(spark, sf_dir, "nation"), "n_nationkey").select("n_name", "customers")
+
+
+@query("star_union_all", "SELECT 'customer' AS kind, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY ALL")
+def _(spark, sf_dir):
+    of = lambda name, key: _t(spark, sf_dir, name).groupBy(F.col(key).alias("nation")).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "nation", "n")
+    return of("customer", "c_nationkey").unionByName(of("supplier", "s_nationkey"))
+
+
+@query("star_top_k_per_group", "SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS r FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def _(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return _t(spark, sf_dir, "orders").withColumn("r", rank).where("r <= 3").select("o_custkey", "o_orderkey", "r")
+
+
+@query("star_page", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).offset(40).limit(20)
+
+
+@query("star_arrays", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"), F.count("*").alias("n"))
+
+
+@query("star_filtered_aggregates", "SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_quantity > 25) AS large, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+
+
+@query("star_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) > 5")
+def _(spark, sf_dir):
+    out = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    return out.where("f > 0 AND n > 5").drop("f")
+
+
+@query("star_distinct_from", "SELECT o_orderkey FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where(~F.col("o_orderstatus").eqNullSafe("F")).select("o_orderkey")

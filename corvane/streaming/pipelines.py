@@ -139,3 +139,37 @@ def subscribe_events(events: DataFrame, tenant_id: str) -> DataFrame:
 
 def signed_in(events: DataFrame) -> DataFrame:
     return events.where(present("user_id"))
+
+
+def merged_list(shown: DataFrame, updates: DataFrame, keep: int = 25) -> DataFrame:
+    """A live list of profiles after updates: newest first_seen first, ties by key, ``keep`` rows. Both have the same columns."""
+    keys = ["tenant_id", "canonical_id"]
+    both = shown.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
+    return latest_per_key(both, keys, "_new").drop("_new").orderBy(F.desc("first_seen"), *keys).limit(keep)
+
+
+def newest(shown: DataFrame, events: DataFrame, keep: int = 200) -> DataFrame:
+    """The live ring of events: the newest ``keep``."""
+    return shown.unionByName(events).orderBy(F.desc("event_ts"), F.desc("event_id")).limit(keep)
+
+
+class Broadcast:
+    """Fan-out of micro-batches to receivers in the driver; a receiver that lags behind ``capacity`` rows loses the oldest."""
+
+    def __init__(self, capacity: int = 1024) -> None:
+        self.capacity, self.receivers = capacity, []
+
+    def subscribe(self, wanted: Callable[[Row], bool] = lambda r: True):
+        from collections import deque
+
+        queue = deque(maxlen=self.capacity)
+        self.receivers.append((wanted, queue))
+        return queue
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if not self.receivers:
+            return  # nobody listens, nothing is computed
+        for r in batch.limit(self.capacity).collect():
+            for wanted, queue in self.receivers:
+                if wanted(r):
+                    queue.append(r)
