@@ -133,22 +133,29 @@ def _extract(docs: DataFrame, text: str, names: tuple[str, str], keep: bool) ->
 
 def _revealing(corpus: DataFrame, text: str, marked: DataFrame, near: str, support: int, threshold: float) -> DataFrame:
     """entity, term, kind for the terms that reveal an entity, by counts over all of ``corpus``."""
-    total = corpus.count()
+    total = float(corpus.count())
     by_doc = marked.where(F.size(near) > 0).select(near)
     entity = by_doc.select(F.explode(F.array_distinct(F.transform(near, lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    near_term = by_doc.select(F.explode(F.array_distinct(F.transform(near, lambda c: c["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("df_near"))
     joint = by_doc.select(F.explode(F.array_distinct(F.transform(near, lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
     joint = joint.groupBy("p.entity", "p.term").agg(F.count("*").alias("joint")).where(F.col("joint") >= support)
+
+    def reveals(df_term: str):
+        ic = F.log(F.lit(total) / F.col("df_entity"))
+        pmi = F.log(F.lit(total) * F.col("joint") / (F.col("df_entity").cast("double") * F.col(df_term)))
+        return (ic > 0) & (pmi >= ic * threshold)
+
+    # A term is in as many documents at least as it is near any entity, and PMI falls as its frequency rises: what that
+    # least frequency rules out needs no count over the corpus. So common words never reach the join below.
+    joint = joint.join(entity, "entity").join(near_term, "term").where(reveals("df_near"))
     wanted = joint.select("term").distinct()
-    # Document frequencies of all terms of the corpus; where few are asked for, the others go before the shuffle.
     said = corpus.select(F.explode(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(MARKS))))).alias("term"))
+    # Where few terms are asked for, the others go before the shuffle.
     if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
         said = said.join(F.broadcast(wanted), "term", "left_semi")
     df_term = said.groupBy("term").agg(F.count("*").alias("df_term"))
-    found = joint.join(df_term, "term").join(entity, "entity")
-    ic = F.log(F.lit(float(total)) / F.col("df_entity"))
-    pmi = F.log(F.lit(float(total)) * F.col("joint") / (F.col("df_entity").cast("double") * F.col("df_term")))
     kind = F.when(F.col("joint") >= F.col("df_term"), METHOD[0]).otherwise(METHOD[1])
-    return found.where((ic > 0) & (pmi >= ic * threshold)).select("entity", "term", kind.alias("kind"))
+    return joint.join(df_term, "term").where(reveals("df_term")).select("entity", "term", kind.alias("kind"))
 
 
 def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD, keep: bool = True, corpus: DataFrame | None = None) -> DataFrame:
