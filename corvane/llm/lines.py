@@ -342,7 +342,9 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     exact = distinct.where("n > 1").select("k1", "k2", F.col("first").alias("keep"), F.lit(False).alias("fuzzy"))
     keep = fuzzy.unionByName(exact).groupBy("k1", "k2").agg(F.max_by("keep", "fuzzy").alias("keep"))
     gone = F.col("keep").isNotNull() & ~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("keep"))
-    judged = rows.join(keep, ["k1", "k2"], "left").select("doc_id", "th", "line_no", (gone & (F.col("line_no") >= 0)).alias("gone"))
+    judged = lines.join(keep, ["k1", "k2"], "left").select("doc_id", "th", "line_no", gone.alias("gone"))
+    # The rows that stand for documents have no key, so they don't take part in the join.
+    judged = judged.unionByName(rows.where("line_no < 0").select("doc_id", "th", "line_no", F.lit(False).alias("gone")))
     by_doc = judged.groupBy("doc_id", "th").agg(
         F.count(F.when(F.col("line_no") < 0, 1)).alias("copies"),
         F.size(F.collect_set(F.when(F.col("line_no") >= 0, F.col("line_no")))).alias("n_lines"),
