@@ -16,7 +16,7 @@ from corvane.llm.components import components
 
 RADIUS, SIMILARITY, SEED, BITS = 3, 0.8, 42, 64
 #: Values that a shard may be expected to hold by chance, values beyond which it is dealt anew by more bits, words hashed
-#: at a time, documents up to which the texts' join is a broadcast.
+#: at a time, lines up to which the places asked for are broadcast.
 EXPECTED, SHARD, HASHED, BROADCAST = 64, 20_000, 1 << 16, 200_000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -286,9 +286,10 @@ def _key(k1: str = "k1", k2: str = "k2") -> Column:
 
 def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp, key, line for the places (doc_id, th, line_no) in ``wanted``: each document is split once."""
+    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
     by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "fp", "key")).alias("want"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "want")
-    if by_doc.limit(BROADCAST + 1).count() <= BROADCAST:
+    if few:
         by_doc = F.broadcast(by_doc)
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
     got = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("want", lambda w: F.struct(w["fp"].alias("fp"), w["key"].alias("key"), F.get(ls, w["line_no"]).alias("line"))))[0]
