@@ -22,13 +22,17 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A row of the threshold table: keep a text if ``low <= numerator / denominator <= high``; an empty denominator passes."""
+    """A row of the threshold table: keep a text if ``low <= numerator / denominator <= high``; an empty denominator passes.
+
+    least: words below which a text is too short for the ratio to tell, and passes.
+    """
 
     name: str
     numerator: str
     denominator: str | None = None
     low: float | None = None
     high: float | None = None
+    least: int = 0
 
     def column(self, stats: Column) -> Column:
         top = stats[self.numerator]
@@ -39,13 +43,14 @@ class Rule:
             held = held & (top >= base * F.lit(self.low))
         if self.high is not None:
             held = held & (top <= base * F.lit(self.high))
-        return held
+        return held | (stats["n_words"] < self.least) if self.least else held
 
     def sql(self) -> str:
         base = self.denominator or "1"
         parts = [f"{self.numerator} >= {base} * CAST({self.low!r} AS DOUBLE)"] * (self.low is not None)
         parts += [f"{self.numerator} <= {base} * CAST({self.high!r} AS DOUBLE)"] * (self.high is not None)
-        return " AND ".join(parts) or "TRUE"
+        held = " AND ".join(parts) or "TRUE"
+        return f"({held}) OR n_words < {self.least}" if self.least else held
 
 
 #: The method's own thresholds; the base rules (fewer than 10 words, over 20 % repeated) come before them.
@@ -53,7 +58,7 @@ RULES = (
     Rule("mean word length", "word_chars", "n_words", low=2.0, high=16.0),
     Rule("symbols a word", "n_symbols", "n_words", high=0.2),
     Rule("shouted words", "n_shouted", "n_words", high=0.5),
-    Rule("stop words", "n_stop", "n_words", low=0.02),
+    Rule("stop words", "n_stop", "n_words", low=0.02, least=30),
     Rule("duplicate lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("ellipsis lines", "n_ellipsis", "n_lines", high=0.5),
     Rule("bullet lines", "n_bullets", "n_lines", high=0.9),
