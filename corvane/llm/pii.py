@@ -20,8 +20,8 @@ from corvane.llm.common import fresh, scratch, table, words
 KINDS = ("email", "ip", "card", "phone")
 METHOD = ("removed", "generalised")
 #: Words on each side of an entity that are its context, code points searched for them, least joint documents, threshold,
-#: candidate terms up to which their set is broadcast.
-CONTEXT, REACH, SUPPORT, THRESHOLD, BROADCAST = 10, 400, 3, 0.9, 200_000
+#: candidate terms up to which their set is broadcast, parts of the corpus of which one gives the first lower bounds.
+CONTEXT, REACH, SUPPORT, THRESHOLD, BROADCAST, PARTS = 10, 400, 3, 0.9, 200_000, 8
 #: What is stripped from a word's ends before it counts as a term.
 MARKS = ".,;:!?()[]{}<>\"'«»„“”‚‘’…|*#%&$+=/\\-_~^`@"
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
@@ -131,6 +131,15 @@ def _extract(docs: DataFrame, text: str, names: tuple[str, str], keep: bool) ->
     return docs.mapInArrow(run, ", ".join([*ddl, f"{names[0]} array<struct<kind:string,start:int,end:int>>", f"{names[1]} array<struct<entity:string,term:string,start:int,end:int>>"]))
 
 
+def _frequencies(corpus: DataFrame, text: str, wanted: DataFrame, into: str) -> DataFrame:
+    """term, ``into``: the documents of ``corpus`` that have each of the ``wanted`` terms (others may be counted too)."""
+    said = corpus.select(F.explode(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(MARKS))))).alias("term"))
+    # Where few terms are asked for, the others go before the shuffle.
+    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
+        said = said.join(F.broadcast(wanted), "term", "left_semi")
+    return said.groupBy("term").agg(F.count("*").alias(into))
+
+
 def _revealing(corpus: DataFrame, text: str, marked: DataFrame, near: str, support: int, threshold: float) -> DataFrame:
     """entity, term, kind for the terms that reveal an entity, by counts over all of ``corpus``."""
     total = float(corpus.count())
@@ -145,15 +154,14 @@ def _revealing(corpus: DataFrame, text: str, marked: DataFrame, near: str, suppo
         pmi = F.log(F.lit(total) * F.col("joint") / (F.col("df_entity").cast("double") * F.col(df_term)))
         return (ic > 0) & (pmi >= ic * threshold)
 
-    # A term is in as many documents at least as it is near any entity, and PMI falls as its frequency rises: what that
-    # least frequency rules out needs no count over the corpus. So common words never reach the join below.
+    # PMI falls as a term's frequency rises, so any lower bound of that frequency rules out pairs for good: first the
+    # documents where the term is near an entity, then its count in one part of the corpus. Common words go by these, and
+    # the count over all documents is taken of rare terms only.
     joint = joint.join(entity, "entity").join(near_term, "term").where(reveals("df_near"))
-    wanted = joint.select("term").distinct()
-    said = corpus.select(F.explode(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(MARKS))))).alias("term"))
-    # Where few terms are asked for, the others go before the shuffle.
-    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
-        said = said.join(F.broadcast(wanted), "term", "left_semi")
-    df_term = said.groupBy("term").agg(F.count("*").alias("df_term"))
+    part = corpus.where(F.pmod(F.xxhash64(text), F.lit(PARTS)) == 0)
+    least = _frequencies(part, text, joint.select("term").distinct(), "df_least")
+    joint = joint.join(least, "term", "left").where(F.col("df_least").isNull() | reveals("df_least"))
+    df_term = _frequencies(corpus, text, joint.select("term").distinct(), "df_term")
     kind = F.when(F.col("joint") >= F.col("df_term"), METHOD[0]).otherwise(METHOD[1])
     return joint.join(df_term, "term").where(reveals("df_term")).select("entity", "term", kind.alias("kind"))
 
