@@ -50,6 +50,14 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return np.stack([np.repeat(np.arange(len(score)), cols.shape[1]), cols.ravel()])
 
 
+def _first(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k first entries by score, then id: ties may be many, and only these can be among the k first of all."""
+    order = np.lexsort((ids[cols], -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], score[keep]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """ids and matrices of candidates, a matrix for each length of vector."""
     held: dict[int, list] = {}
@@ -109,8 +117,8 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
                 found.append(_best(part, k))
             rows, cols = np.unique(np.concatenate(found, axis=1), axis=1)
             keep = ~own[rows, cols]
-            rows, cols = rows[keep], cols[keep]
-            yield q_ids[at : at + 512][rows], ids[cols], total[rows, cols]
+            rows, cols, score = _first(rows[keep], cols[keep], total[rows[keep], cols[keep]], ids, k)
+            yield q_ids[at : at + 512][rows], ids[cols], score
 
     schema = "query_id bigint, vec_id bigint, score bigint"
     first = candidates.mapInArrow(_run(gather, block), schema)
@@ -135,7 +143,8 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
             rows, cols = np.nonzero(collected)
             score = sum(part[rows, cols] for part in lists)
             keep = score >= cut_off[rows, 0]
-            yield q_ids[at : at + 512][rows[keep]], ids[cols[keep]], score[keep]
+            rows, cols, score = _first(rows[keep], cols[keep], score[keep], ids, k)
+            yield q_ids[at : at + 512][rows], ids[cols], score
 
     found = candidates.mapInArrow(_run(resolve, block), schema)
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
