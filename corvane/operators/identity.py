@@ -19,6 +19,10 @@ from corvane.functions.columns import deterministic_id, present
 from corvane.operators.state import checkpoint
 
 
+#: Signed-in users up to which their canonical ids are broadcast.
+BROADCAST = 200_000
+
+
 def user_canonicals(placed: DataFrame, rounds: int = 64) -> DataFrame:
     """tenant_id, user, canon, first_seq for every signed-in user of ``placed`` (see resolve)."""
     first = placed.where(present("user_id")).groupBy("tenant_id", "user_id").agg(F.min_by(F.struct("prev_user", "device_new_id"), "seq").alias("f"), F.min("seq").alias("first_seq"))
@@ -45,6 +49,8 @@ def resolve(events: DataFrame) -> DataFrame:
     })
     placed = placed.withColumn("device_new_id", deterministic_id("tenant_id", "device_first"))
     canon = user_canonicals(placed)
+    if canon.limit(BROADCAST + 1).count() <= BROADCAST:
+        canon = F.broadcast(canon)  # else the events are dealt by user twice
     own = canon.select(F.col("tenant_id").alias("t1"), F.col("user").alias("u1"), F.col("canon").alias("own"), "first_seq")
     past = canon.select(F.col("tenant_id").alias("t2"), F.col("user").alias("u2"), F.col("canon").alias("past"))
     joined = placed.join(own, (F.col("tenant_id") == F.col("t1")) & (F.col("user_id") == F.col("u1")), "left")

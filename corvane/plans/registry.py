@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.columns import event_date, event_hour, text_ms
 from corvane.functions.schemas import PROFILE_RELEASE, TimeRange
 from corvane.operators import admission, identity, profiles, sessions, store
+from corvane.operators.state import shared_folder
 from corvane.plans import catalogue as C
 from corvane.plans.oracles import label, over, since
 from corvane.sources.driver_events import NOW, raw_events
@@ -33,9 +35,21 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.unified(identity.resolve(raw_events(spark, sf_dir)))
 
 
-def tables(spark: SparkSession, sf_dir: str, canonical: bool = True, with_sessions: bool = False, with_profiles: bool = False) -> C.Tables:
-    """Stored tables from the driver's events; a query that needs no canonical id doesn't pay for identity."""
-    rows = unified(spark, sf_dir) if canonical else raw_events(spark, sf_dir).withColumn("canonical_id", F.lit(None).cast("string"))
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified events as a table in the shared folder, as the pipeline stores them: for queries that read them more than
+    once, so that identity is resolved once and every branch reads its own columns only."""
+    path = f"{shared_folder(spark)}/unified-{uuid.uuid4().hex}"
+    unified(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def tables(spark: SparkSession, sf_dir: str, canonical: bool = True, with_sessions: bool = False, with_profiles: bool = False, several: bool = False) -> C.Tables:
+    """Stored tables from the driver's events; a query that needs no canonical id doesn't pay for identity.
+
+    several: events are read more than once.
+    """
+    build = written if with_profiles or several else unified
+    rows = build(spark, sf_dir) if canonical else raw_events(spark, sf_dir).withColumn("canonical_id", F.lit(None).cast("string"))
     return C.Tables(
         store.ingest_events(rows),
         store.ingest_sessions(sessions.windows(rows)) if with_sessions else None,
@@ -137,12 +151,12 @@ def _(spark, sf_dir):
     over("SELECT tenant_id, canonical_id, count(*) AS completed_sessions, CAST(sum(duration_ms) // count(*) // 1000 AS BIGINT) AS avg_duration_sec, sum(duration_ms) / count(*) / 1000.0 AS avg_session_duration_sec FROM done GROUP BY ALL", "done"),
 )
 def _(spark, sf_dir):
-    return sessions.closed_metrics(sessions.closed_by_stream(unified(spark, sf_dir)))
+    return sessions.closed_metrics(sessions.closed_by_stream(written(spark, sf_dir)))
 
 
 @query("completed_average", over("SELECT tenant_id, canonical_id, sum(duration_ms) / count(*) / 1000.0 AS avg_session_duration_sec FROM done GROUP BY ALL", "done"))
 def _(spark, sf_dir):
-    return sessions.closed_metrics(sessions.closed_by_stream(unified(spark, sf_dir))).select("tenant_id", "canonical_id", "avg_session_duration_sec")
+    return sessions.closed_metrics(sessions.closed_by_stream(written(spark, sf_dir))).select("tenant_id", "canonical_id", "avg_session_duration_sec")
 
 
 def _ranges(day: str, value: str) -> str:
@@ -151,7 +165,7 @@ def _ranges(day: str, value: str) -> str:
 
 @query("closed_calendar", over(f"SELECT tenant_id, canonical_id, count(*) AS total_sessions, {_ranges('CAST(start_ts AS DATE)', '1')} FROM done GROUP BY tenant_id, canonical_id", "done"))
 def _(spark, sf_dir):
-    return sessions.closed_calendar(sessions.closed_by_stream(unified(spark, sf_dir)), F.lit("2024-01-30").cast("date"))
+    return sessions.closed_calendar(sessions.closed_by_stream(written(spark, sf_dir)), F.lit("2024-01-30").cast("date"))
 
 
 @query(
@@ -168,7 +182,7 @@ def _(spark, sf_dir):
 
 @query("current_sessions", over("SELECT tenant_id, session_id, canonical_id, CAST(duration_ms // 1000 AS BIGINT) AS duration_sec FROM sess WHERE end_ts + INTERVAL 30 MINUTE > (SELECT max(event_ts) - INTERVAL 5 SECOND FROM unified)", "sess"))
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     mark = sessions.watermark_of(rows)
     return sessions.windows(rows).crossJoin(F.broadcast(mark)).where("window_end > watermark").select("tenant_id", "session_id", "canonical_id", F.expr("duration_ms div 1000").alias("duration_sec"))
 
@@ -198,7 +212,7 @@ def _(spark, sf_dir):
 
 @query("profile_calendar", over(f"SELECT {_cols('events_1d', 'events_7d', 'events_30d', 'events_90d')} FROM profiles", "profiles"))
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     return profiles.calendar(rows.crossJoin(F.broadcast(profiles.reference_date(rows))), F.col("today"))
 
 
@@ -221,7 +235,7 @@ KNOWN = "LEFT JOIN (SELECT tenant_id, canonical_id, TRUE AS known FROM early_pro
 
 @query("profile_release", over(f"SELECT {LISTED}, CASE WHEN known THEN 'update' ELSE 'create' END AS action FROM profiles {KNOWN}", "profiles", "early_profiles"))
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     return flat(profiles.with_action(profiles.snapshot(rows), profiles.lifetime(_early(rows))))
 
 
@@ -235,7 +249,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     return flat(profiles.changed_fields(profiles.snapshot(rows), profiles.snapshot(_early(rows))))
 
 
@@ -249,17 +263,17 @@ def _branches(rows: DataFrame):
 
 @query("profile_join_left", over(f"SELECT {LISTED} FROM profiles", "profiles"))
 def _(spark, sf_dir):
-    return flat(profiles.assemble(*_branches(unified(spark, sf_dir))).select(*PROFILE21))
+    return flat(profiles.assemble(*_branches(written(spark, sf_dir))).select(*PROFILE21))
 
 
 @query("profile_join_inner", over(f"SELECT {LISTED} FROM profiles WHERE len(top_pages) > 0 AND len(top_features) > 0", "profiles"))
 def _(spark, sf_dir):
-    return flat(profiles.assemble(*_branches(unified(spark, sf_dir)), how="inner").select(*PROFILE21))
+    return flat(profiles.assemble(*_branches(written(spark, sf_dir)), how="inner").select(*PROFILE21))
 
 
 @query("profile_union_all", over(f"SELECT {LISTED} FROM profiles", "profiles"))
 def _(spark, sf_dir):
-    return flat(profiles.assemble_union(*_branches(unified(spark, sf_dir))).select(*PROFILE21))
+    return flat(profiles.assemble_union(*_branches(written(spark, sf_dir))).select(*PROFILE21))
 
 
 @query(
@@ -271,7 +285,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     counted = sessions.start_counts(rows, F.lit("2024-01-30").cast("date")).where("total_sessions > 0")
     return profiles.lifetime(rows).select("tenant_id", "canonical_id", "total_events").join(counted, profiles.KEY)
 
@@ -281,7 +295,7 @@ def _(spark, sf_dir):
     over("SELECT p.tenant_id, p.canonical_id, CASE WHEN e.tenant_id IS NULL THEN 'insert' ELSE 'update' END AS action, coalesce(e.total_events, -1) AS old_total, p.total_events AS new_total FROM profiles p LEFT JOIN early_profiles e USING (tenant_id, canonical_id)", "profiles", "early_profiles"),
 )
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     out = store.merge_returning(profiles.lifetime(_early(rows)), profiles.lifetime(rows))
     return out.select("tenant_id", "canonical_id", "action", F.coalesce("old.total_events", F.lit(-1)).alias("old_total"), F.col("new.total_events").alias("new_total"))
 
@@ -296,7 +310,7 @@ WHERE e.n IS DISTINCT FROM f.n""",
     ),
 )
 def _(spark, sf_dir):
-    rows = unified(spark, sf_dir)
+    rows = written(spark, sf_dir)
     count = lambda df: df.groupBy(*profiles.KEY).agg(F.count("*").alias("n"))
     out = store.cdc(count(_early(rows)), count(rows.where("event_ts >= TIMESTAMP_NTZ '2024-01-08 00:00:00'")))
     return out.select("tenant_id", "canonical_id", "op", F.coalesce("before.n", F.lit(-1)).alias("before_total"), F.coalesce("after.n", F.lit(-1)).alias("after_total"))
@@ -327,7 +341,7 @@ TENANTS = "SELECT u.tenant_id, count(*) AS event_count, count(DISTINCT canonical
 
 def _light(spark: SparkSession, sf_dir: str) -> C.Tables:
     """Tables for what counts persons but reads no other field of a profile."""
-    t = tables(spark, sf_dir)
+    t = tables(spark, sf_dir, several=True)
     t.profiles = profiles.lifetime(t.events)
     return t
 
@@ -461,7 +475,7 @@ FROM (SELECT count(*) AS n FROM (SELECT max(event_ts) AS m FROM unified GROUP BY
 
 
 def _with_sessions(spark: SparkSession, sf_dir: str) -> C.Tables:
-    t = tables(spark, sf_dir, with_sessions=True)
+    t = tables(spark, sf_dir, with_sessions=True, several=True)
     t.profiles = profiles.lifetime(t.events)
     return t
 
@@ -511,10 +525,6 @@ def _(spark, sf_dir):
 
 @query("lake_partitioned_roundtrip", over(f"SELECT {COLUMNS17} FROM capture", "capture"))
 def _(spark, sf_dir):
-    import uuid
-
-    from corvane.operators.state import shared_folder
-
     path = f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}"
     store.write_lake(unified(spark, sf_dir), path)
     return store.read_lake(spark, path)
