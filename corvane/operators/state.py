@@ -1,23 +1,30 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage and storing tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="corvane-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _temporary()
+    return where.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corvane-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or in tests a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return (where or f"{tempfile.mkdtemp(prefix='corvane-')}").rstrip("/")
