@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = _temporary()
     return where.rstrip("/")
