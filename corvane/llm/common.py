@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _local(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     where = spark.sparkContext.getCheckpointDir()
     if not where:
