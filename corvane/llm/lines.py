@@ -16,8 +16,9 @@ from corvane.llm.components import components
 
 RADIUS, SIMILARITY, SEED, BITS = 3, 0.8, 42, 64
 #: Values that a shard may be expected to hold by chance, values beyond which it is dealt anew by more bits, words hashed
-#: at a time, lines up to which the places asked for are broadcast.
-EXPECTED, SHARD, HASHED, BROADCAST = 64, 20_000, 1 << 16, 200_000
+#: at a time, lines up to which the places asked for are broadcast,
+#: distinct lines that may count as very frequent.
+EXPECTED, SHARD, HASHED, BROADCAST, HOT = 64, 20_000, 1 << 16, 200_000, 2000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 # By byte: its eight bits as counters of 16 bits, four to an integer.
@@ -343,7 +344,12 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     exact = distinct.where("n > 1").select("k1", "k2", F.col("first").alias("keep"), F.lit(False).alias("fuzzy"))
     keep = fuzzy.unionByName(exact).groupBy("k1", "k2").agg(F.max_by("keep", "fuzzy").alias("keep"))
     gone = F.col("keep").isNotNull() & ~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("keep"))
-    judged = lines.join(keep, ["k1", "k2"], "left").select("doc_id", "th", "line_no", gone.alias("gone"))
+    # A line that makes up more than 1 in HOT of all lines would go to one task: there are fewer than HOT such, so they are
+    # broadcast, and only the others are joined by key.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = distinct.where(F.col("n") * HOT > total).select("k1", "k2")
+    judged = lines.join(F.broadcast(hot.join(keep, ["k1", "k2"], "left")), ["k1", "k2"]).unionByName(lines.join(F.broadcast(hot), ["k1", "k2"], "left_anti").join(keep, ["k1", "k2"], "left"))
+    judged = judged.select("doc_id", "th", "line_no", gone.alias("gone"))
     # The rows that stand for documents have no key, so they don't take part in the join.
     judged = judged.unionByName(rows.where("line_no < 0").select("doc_id", "th", "line_no", F.lit(False).alias("gone")))
     by_doc = judged.groupBy("doc_id", "th").agg(
