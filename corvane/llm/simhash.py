@@ -14,8 +14,9 @@ from corvane.llm.common import checkpoint, fresh, table
 from corvane.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
-#: Shingles whose bits are counted at a time, fingerprints of a shard beyond which it is cut again, queries of a shard a task.
-COUNTED, SHARD, PART = 1 << 16, 4096, 2048
+#: Shingles whose bits are counted at a time, fingerprints of a shard beyond which it is cut again,
+#: keys of two integers up to which they are broadcast.
+COUNTED, SHARD, BROADCAST = 1 << 16, 4096, 200_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -202,11 +203,24 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
 
     Null ids come last, equal ids go by the hash of their texts, and of repeated rows one stays.
     """
-    found = _grouped(docs, doc_id, text, radius)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
-    first = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th")).distinct()
-    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th")), "left_semi")
-    return kept.dropDuplicates([doc_id, text])
+    found = checkpoint(_grouped(docs, doc_id, text, radius).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
+    judged = found.join(best, "root").withColumn("stays", F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.th") == F.col("th")))
+    i, h = fresh(docs, "_i", "_h")
+    key = lambda df: df.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    match = F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))
+    # Texts are shuffled only where the rows that go are too many to broadcast.
+    kept = docs.join(_bounded(key(judged.where("NOT stays"))), match, "left_anti")
+    repeated = _bounded(key(judged.where("stays AND n > 1")))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([doc_id, text]))
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    """``keys`` to be broadcast if they are few, else to be joined by a shuffle."""
+    keys = checkpoint(keys)
+    return F.broadcast(keys) if keys.limit(BROADCAST + 1).count() <= BROADCAST else keys
 
 
 def query(spark, sf_dir):
