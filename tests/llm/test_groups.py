@@ -34,10 +34,11 @@ def signed(v):
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_components(spark, small):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (None, 3)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int"), small=small).collect()}
     nodes = sorted({x for a, b in edges if a is not None and a != b for x in (a, b)})
     pairs = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
     tops = groups(len(nodes), lambda i, j: (nodes[i], nodes[j]) in pairs)
@@ -45,7 +46,7 @@ def test_components(spark):
     for n, t in zip(nodes, tops, strict=True):
         least[t] = min(least.get(t, n), n)
     assert got == {n: least[t] for n, t in zip(nodes, tops, strict=True)}
-    assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+    assert components(spark.createDataFrame([], "a int, b int"), small=small).count() == 0
 
 
 # --- SimHash
