@@ -21,10 +21,10 @@ from corvane.llm.common import scratch, table
 #: Fixed values of the format.
 VERSION = b"WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Bytes asked of a file at a time, the longest header read, bytes of payload an archive takes before the next is begun.
-READ, HEADER, ARCHIVE = 1 << 16, 1 << 20, 1 << 28
+#: Bytes asked of a file at a time, the longest header read, bytes of payload an archive takes before the next is begun,
+#: records that go to Python at a time.
+READ, HEADER, ARCHIVE, BATCH = 1 << 16, 1 << 20, 1 << 28, 512
 DATE = "2024-01-01T00:00:00Z"
-WRITTEN = "page_id bigint, url string, payload binary, refers_to bigint"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean"
 
 
@@ -236,7 +236,13 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE) ->
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0].rpartition("/")[2] for x in done]), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["file", "records", "bytes"])
 
-    records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string, records bigint, bytes bigint").write.parquet(f"{folder}/_files")
+    # Payloads are large: fewer go to Python at a time than of ordinary rows. The write ends before the setting goes back.
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(before) if int(before) > 0 else BATCH, BATCH)))
+    try:
+        records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string, records bigint, bytes bigint").write.parquet(f"{folder}/_files")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     return spark.read.parquet(f"{folder}/_files").select(F.concat(F.lit(f"{folder}/"), "file").alias("path"), "records", "bytes")
 
 
