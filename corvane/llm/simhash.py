@@ -203,7 +203,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
 
     Null ids come last, equal ids go by the hash of their texts, and of repeated rows one stays.
     """
-    found = checkpoint(_grouped(docs, doc_id, text, radius).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")))
+    return keep_best(docs, _grouped(docs, doc_id, text, radius), doc_id, text)
+
+
+def keep_best(docs: DataFrame, grouped: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` a root of ``grouped`` (root, doc_id, th for every row), by the order that keep_one() states."""
+    found = checkpoint(grouped.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
     judged = found.join(best, "root").withColumn("stays", F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.th") == F.col("th")))
     i, h = fresh(docs, "_i", "_h")
