@@ -324,7 +324,7 @@ def _(spark, sf_dir):
 
 @query("retention", over("SELECT event_id, tenant_id FROM raw WHERE event_ts >= TIMESTAMP '2024-01-15' AND seq % 2 = 0", "raw"))
 def _(spark, sf_dir):
-    return store.retain(raw_events(spark, sf_dir).where("seq % 2 = 0"), "2024-01-22 00:00:00", days=7).select("event_id", "tenant_id")
+    return store.retain(raw_events(spark, sf_dir), "2024-01-22 00:00:00", days=7).select("event_id", "tenant_id")
 
 
 # --- catalogue --------------------------------------------------------------------------------------------------------
