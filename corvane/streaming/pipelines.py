@@ -169,7 +169,8 @@ class Broadcast:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if not self.receivers:
             return  # nobody listens, nothing is computed
-        for r in batch.limit(self.capacity).collect():
+        # Every row is offered to everyone, a partition at a time in the driver; only a receiver's own queue drops rows.
+        for r in batch.toLocalIterator():
             for wanted, queue in self.receivers:
                 if wanted(r):
                     queue.append(r)
