@@ -154,15 +154,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, slices: int = S
     """query_id, rank, vec_id, score: each query's k best candidates by inner product, exactly.
 
     Both inputs as quantised() gives them: vec_id, v. Only vectors of a query's length are its candidates; those with the
-    query's vec_id are its own and aren't. Repeated rows (same id and vector) count once. Ties go to the smaller vec_id.
+    query's vec_id are its own and aren't. Every row counts, repeated ones too, as in sql(). Ties go to the smaller vec_id.
     No queries or no candidates give no rows. Scores are int64.
 
     Query vectors are broadcast ``query_block`` at a time, so what is broadcast doesn't grow with the data; each block of
     queries passes over all candidates twice and is written to the shared folder before the next when there are several.
     """
     spark = candidates.sparkSession
-    candidates = candidates.dropDuplicates(["vec_id", "v"])
-    queries = queries.dropDuplicates(["vec_id", "v"])
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     candidates = checkpoint(candidates)
     held, wrote, path = [], 0, scratch(spark, "topk")
@@ -173,7 +171,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, slices: int = S
             _phases(candidates, held, k, slices, block).write.mode("append").parquet(path)
             held, wrote = [], wrote + 1
     last = _phases(candidates, held, k, slices, block) if held else empty
-    return last.unionByName(spark.read.parquet(path)) if wrote else last
+    if not wrote:
+        return last
+    # Rows of one query_id may lie in several blocks.
+    ordered = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return last.unionByName(spark.read.parquet(path)).withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
 
 def query(spark, sf_dir):
