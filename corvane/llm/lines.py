@@ -1,4 +1,9 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept a group."""
+"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept a group.
+
+A line has two SimHashes over its words. Each is cut into five blocks, and each choice of two blocks is a mask: two
+SimHashes within three bits agree under one of the ten masks at least, and farther ones often do. Lines that agree under a
+mask and differ in at most REACH bits are candidates, and the edit similarity decides.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh, scratch, table
+from corvane.llm.common import checkpoint, fresh, scratch, table
 from corvane.llm.components import components
 
-RADIUS, SIMILARITY, SEED, BITS = 3, 0.8, 42, 64
-#: Values that a shard may be expected to hold by chance, values beyond which it is dealt anew by more bits, words hashed
-#: at a time, lines up to which the places asked for are broadcast,
-#: distinct lines that may count as very frequent.
-EXPECTED, SHARD, HASHED, BROADCAST, HOT = 64, 20_000, 1 << 16, 200_000, 2000
+#: Bits within which a pair is sure to share a mask, blocks, bits within which such a pair is a candidate, SimHashes a line.
+RADIUS, BLOCKS, REACH, PRINTS = 3, 5, 8, 2
+SIMILARITY, SEED, BITS = 0.8, 42, 64
+#: Lines that a shard may hold before it is cut into parts, words hashed at a time, lines up to which the places asked for
+#: are broadcast (some tens of bytes each), distinct lines that may count as very frequent.
+SHARD, HASHED, BROADCAST, HOT = 1 << 15, 1 << 16, 100_000, 2000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 # By byte: its eight bits as counters of 16 bits, four to an integer.
@@ -30,20 +36,36 @@ def normalise(line: bytes) -> list[bytes]:
     return line.lower().translate(_DIGITS).split()
 
 
+def _again(raw: bytes, k: int) -> np.ndarray:
+    """The words' hashes (8 bytes each, big-endian) for SimHash number ``k``, as bytes: the first takes them as they are."""
+    x = np.frombuffer(raw, ">u8").astype(np.uint64)
+    if k:
+        # The finishing steps of a 64-bit mixer.
+        x = x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def line_hashes(counts: list[int], raw: bytes) -> np.ndarray:
-    """Fingerprints of lines, given each line's number of words (under 65,536) and all words' 8-byte hashes in a row."""
+    """PRINTS fingerprints a line, given each line's number of words (under 65,536) and all words' 8-byte hashes in a row."""
     n = np.array(counts)
-    lanes = _LANES[np.frombuffer(raw, np.uint8).reshape(-1, 8)].reshape(-1, 16)
-    sums = np.add.reduceat(lanes, np.cumsum(n) - n, axis=0).view(np.uint16).reshape(len(n), BITS)
-    return np.packbits(sums.astype(np.int64) * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    out = []
+    for k in range(PRINTS):
+        lanes = _LANES[_again(raw, k)].reshape(-1, 16)
+        sums = np.add.reduceat(lanes, np.cumsum(n) - n, axis=0).view(np.uint16).reshape(len(n), BITS)
+        out.append(np.packbits(sums.astype(np.int64) * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64))
+    return np.stack(out, axis=1)
 
 
-def _long_line(ws: list[bytes]) -> int:
-    ones = np.zeros(BITS, np.int64)
+def _long_line(ws: list[bytes]) -> np.ndarray:
+    ones = np.zeros((PRINTS, BITS), np.int64)
     for at in range(0, len(ws), HASHED):
         raw = b"".join([xxhash.xxh64_digest(w, SEED) for w in ws[at : at + HASHED]])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(ws)).tobytes(), "big")
+        for k in range(PRINTS):
+            ones[k] += np.unpackbits(_again(raw, k), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(ws), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 class _Hasher:
@@ -65,7 +87,7 @@ class _Hasher:
             ws = dict.fromkeys(ws)
             if len(ws) >= 1 << 15:
                 self.flush()
-                self.fps.append(np.array([_long_line(list(ws))], np.uint64))
+                self.fps.append(_long_line(list(ws))[None])
             else:
                 digest = xxhash.xxh64_digest
                 self.raw.append(b"".join([digest(w, SEED) for w in ws]))
@@ -83,11 +105,13 @@ class _Hasher:
     def done(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush()
         keys = np.frombuffer(b"".join(self.keys), ">i8").reshape(-1, 2).astype(np.int64)
-        return keys, (np.concatenate(self.fps) if self.fps else np.zeros(0, np.uint64)).astype(np.int64)
+        return keys, (np.concatenate(self.fps) if self.fps else np.zeros((0, PRINTS), np.uint64)).astype(np.int64)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, k1, k2, fp for every line with a word of ``docs`` (doc_id, th, text), and a line -1 a row."""
+    """doc_id, th, line_no, k1, k2, fp0, fp1 for every line with a word of ``docs`` (doc_id, th, text); and a line -1 a row,
+    whose k1 is the number of such lines."""
+    names = ["doc_id", "th", "line_no", "k1", "k2", *(f"fp{k}" for k in range(PRINTS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,58 +127,55 @@ def line_rows(docs: DataFrame) -> DataFrame:
                         of.append(hasher.add(ws))
                 n_of.append(len(of) - before)
             keys, fps = hasher.done()
-            keys, fps, of = np.vstack([keys, np.zeros((1, 2), np.int64)]), np.append(fps, 0), np.array(of)
+            of, n_of = np.array(of), np.array(n_of)
+            keys = np.vstack([keys, np.zeros((1, 2), np.int64)])[of]
+            keys[of < 0, 0] = n_of - 1
+            fps = np.vstack([fps, np.zeros((1, PRINTS), np.int64)])[of]
             back = pa.array(np.repeat(np.arange(len(n_of)), n_of))
             for at in range(0, len(of), 1 << 17):
                 some = slice(at, at + (1 << 17))
-                rows = [batch.column(0).take(back[some]), batch.column(1).take(back[some]), pa.array(line_no[some], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x) for x in (keys[of[some], 0], keys[of[some], 1], fps[of[some]]))], names=["doc_id", "th", "line_no", "k1", "k2", "fp"])
+                held = [batch.column(0).take(back[some]), batch.column(1).take(back[some]), pa.array(line_no[some], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*held, *(pa.array(x) for x in (*keys[some].T, *fps[some].T))], names=names)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, k1 bigint, k2 bigint, fp bigint")
+    longs = ", ".join(f"{n} bigint" for n in names[3:])
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, {longs}")
 
 
-def scheme(n: int, radius: int = RADIUS, expected: int = EXPECTED) -> list[int]:
-    """Masks of bits such that values within ``radius`` agree under one of them at least.
+def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
+    """Masks of bits such that values within ``radius`` agree under one of them: each choice of blocks - radius blocks.
 
-    Bits are cut into m > radius blocks; ``radius`` differing bits leave m - radius blocks alone, so each choice of so many
-    blocks is a mask. m is the least for which ``n`` random values share a mask's bits with at most ``expected`` others.
-    Any m gives the same pairs; more blocks mean smaller shards and more of them.
+    They are the same at every size of the input; a value shares a mask's 25 or 26 bits with one in tens of millions.
     """
-    for m in range(radius + 1, 3 * radius + 2):
-        if n / 2 ** (BITS * (m - radius) / m) <= expected:
-            break
-    return _masks(m, radius)
-
-
-def _masks(m: int, radius: int) -> list[int]:
-    edges = [round(k * BITS / m) for k in range(m + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
-    return [sum(c) for c in itertools.combinations(blocks, m - radius)]
+    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+    cut = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
+    return [sum(c) for c in itertools.combinations(cut, blocks - radius)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _shards(fps: DataFrame, masks: list[int], level: int) -> DataFrame:
-    keys = [F.xxhash64(F.lit(level), F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]
-    return fps.select("fp", F.posexplode(F.array(*keys)).alias("mask", "shard")).withColumn("level", F.lit(level))
-
-
-def sharded(fps: DataFrame, masks: list[int], radius: int, shard_size: int = SHARD) -> tuple[DataFrame, list[list[int]]]:
-    """fp, mask, shard, level: every pair within ``radius`` shares a shard; and the masks of each level.
+def sharded(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
+    """shard, mask, fp, node, stored of ``nodes`` (node, fp0, fp1): all that share a mask of a SimHash meet in a shard.
 
-    Values of a shard with more than ``shard_size`` are dealt anew by masks of at least twice the bits. That is exact: all
-    of such a shard's values are dealt, and the finer masks miss no pair either.
+    A shard of more than about ``shard_size`` lines is cut into parts by hash: each part stores its own lines and is asked
+    by those of the parts after it, so every pair still meets, once, and no task holds more than a part's. Which shards are
+    that large is told from a share of the lines, which decides nothing but the number of parts.
     """
-    levels = [masks]
-    rows = _shards(fps, masks, 0)
-    hot = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).select("shard")
-    if hot.isEmpty():
-        return rows, levels
-    levels.append(_masks(2 * radius + 2 if len(masks) <= radius + 1 else 3 * radius + 1, radius))
-    finer = _shards(rows.join(hot, "shard", "left_semi").select("fp").distinct(), levels[1], 1)
-    return rows.join(hot, "shard", "left_anti").select(*finer.columns).unionByName(finer), levels
+    keys = [
+        F.struct(F.xxhash64(F.lit(p), F.lit(k), F.col(f"fp{p}").bitwiseAND(F.lit(_signed(m)))).alias("shard"), F.lit(k).alias("mask"), F.col(f"fp{p}").alias("fp"))
+        for p in range(PRINTS)
+        for k, m in enumerate(masks())
+    ]
+    rows = nodes.select("node", F.explode(F.array(*keys)).alias("s")).select("s.*", "node")
+    share = max(1, min(64, shard_size // 256))
+    told = rows.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size // share)
+    large = checkpoint(told.select("shard", F.ceil(F.col("n") * share / shard_size).cast("int").alias("parts")))
+    if large.isEmpty():
+        return rows.withColumn("stored", F.lit(True))
+    rows = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("home"))))
+    return rows.select(F.xxhash64("shard", "part").alias("shard"), "mask", "fp", "node", (F.col("home") == F.col("part")).alias("stored"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
@@ -179,24 +200,37 @@ def _differing(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _near(shard: np.ndarray, fp: np.ndarray, radius: int, wide: int = 512) -> np.ndarray:
-    """Which rows (sorted by shard) have another value within ``radius`` in their shard."""
+def _first_shared(xor: np.ndarray, mask: np.ndarray | int) -> np.ndarray:
+    """Whether ``mask`` is the first under which the values agree: elsewhere the pair is passed over as judged."""
+    ok = np.ones(len(xor), bool)
+    for k, m in enumerate(masks()[:-1]):
+        ok &= (mask <= k) | ((xor & np.int64(_signed(m))) != 0)
+    return ok
+
+
+def _near(shard: np.ndarray, mask: np.ndarray, fp: np.ndarray, stored: np.ndarray, reach: int = REACH, wide: int = 512) -> np.ndarray:
+    """Which rows (sorted by shard) have a candidate in their shard, under its mask first; one of the two is stored there."""
     found = np.zeros(len(fp), bool)
     for o in range(1, min(wide, len(fp))):
         same = shard[o:] == shard[:-o]
         if not same.any():
             return found
-        hit = np.flatnonzero(same & (_differing(fp[o:], fp[:-o]) <= radius))
+        hit = np.flatnonzero(same & (stored[o:] | stored[:-o]) & (_differing(fp[o:], fp[:-o]) <= reach))
+        hit = hit[_first_shared(fp[hit + o] ^ fp[hit], mask[hit])]
         found[hit] = True
         found[hit + o] = True
-    # Longer runs: what has no neighbour among the nearest in order is held against its whole run.
+    # Longer runs: each row is held against what follows it beyond the nearest.
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     for a, b in itertools.pairwise(edges.tolist()):
-        if b - a > wide:
-            for k in (a + np.flatnonzero(~found[a:b])).tolist():
-                hit = a + np.flatnonzero(_differing(fp[a:b], fp[k]) <= radius)
-                if len(hit) > 1:
-                    found[hit] = True
+        for k in range(a, b - wide):
+            if found[k] and found[k + wide : b].all():
+                continue
+            rest = slice(k + wide, b)
+            hit = np.flatnonzero((stored[rest] | stored[k]) & (_differing(fp[rest], fp[k]) <= reach))
+            hit = hit[_first_shared(fp[rest][hit] ^ fp[k], int(mask[k]))]
+            if len(hit):
+                found[k] = True
+                found[k + wide + hit] = True
     return found
 
 
@@ -244,126 +278,128 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
-def _verified(levels: list[list[int]], radius: int, least: float):
-    """mapInArrow over shard, level, mask, fp, key, line (sorted by shard): pairs of keys, a forest in each shard."""
+def _verified(reach: int, least: float):
+    """mapInArrow over shard, mask, fp, stored, rank, line (sorted by shard, stored first): pairs of ranks, a forest in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fps, lines, keys, group = None, np.zeros(0, np.int64), [], [], np.zeros(0, np.int64)
-        n = 0
+        shard, n, fps, group, lines, ranks = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
         for batch in batches:
             links = []
-            for s, level, mask, fp, key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, mask, fp, stored, rank, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
-                    shard, n, lines, keys, fps, group = s, 0, [], [], np.zeros(16, np.int64), np.zeros(16, np.int64)
-                if n == len(fps):
-                    fps, group = np.concatenate([fps, np.zeros(n, np.int64)]), np.concatenate([group, np.zeros(n, np.int64)])
+                    shard, n, lines, ranks, fps, group = s, 0, [], [], np.zeros(16, np.int64), np.zeros(16, np.int64)
                 norm = b" ".join(normalise(line.encode("utf-8", "surrogatepass"))).decode("utf-8", "surrogatepass")
                 xor = fps[:n] ^ fp
-                near = np.flatnonzero(np.bitwise_count(xor.view(np.uint64)) <= radius)
-                group[n], fps[n] = n, fp
+                near = np.flatnonzero(np.bitwise_count(xor.view(np.uint64)) <= reach)
+                near = near[_first_shared(xor[near], mask)] if len(near) else near
+                # One similar line of each group is enough: a tight group of n lines takes n comparisons.
+                met = []
                 for g in np.unique(group[near]).tolist() if len(near) else ():
-                    if group[n] == g:
-                        continue
                     for j in near[group[near] == g].tolist():
-                        # A pair that shares several shards is judged in that of its first mask.
-                        if mask >= 0 and any(int(xor[j]) & m == 0 for m in levels[level][:mask]):
-                            continue
                         if similar(norm, lines[j], least):
-                            links.append((key, keys[j]))
-                            group[: n + 1][group[: n + 1] == g] = group[n]
+                            links.append((rank, ranks[j]))
+                            met.append(g)
                             break
-                lines.append(norm)
-                keys.append(key)
-                n += 1
+                if stored:
+                    if n == len(fps):
+                        fps, group = np.concatenate([fps, np.zeros(n, np.int64)]), np.concatenate([group, np.zeros(n, np.int64)])
+                    fps[n], group[n] = fp, n
+                    lines.append(norm)
+                    ranks.append(rank)
+                    n += 1
+                    met.append(n - 1)
+                if len(met) > 1:
+                    group[:n][np.isin(group[:n], met)] = met[-1]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links]), pa.array([y for _, y in links])], names=["a", "b"])
 
     return run
 
 
-def _key(k1: str = "k1", k2: str = "k2") -> Column:
-    return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
-
-
 def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, key, line for the places (doc_id, th, line_no) in ``wanted``: each document is split once."""
-    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "fp", "key")).alias("want"))
+    """node, rank, line for the places (doc_id, th, line_no) in ``wanted``: each document is split once."""
+    few = wanted.count() <= BROADCAST
+    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "node", "rank")).alias("want"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "want")
     if few:
         by_doc = F.broadcast(by_doc)
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    got = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("want", lambda w: F.struct(w["fp"].alias("fp"), w["key"].alias("key"), F.get(ls, w["line_no"]).alias("line"))))[0]
-    return joined.select(F.explode(got).alias("x")).select("x.*").dropDuplicates(["key"])
+    got = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("want", lambda w: F.struct(w["node"].alias("node"), w["rank"].alias("rank"), F.get(ls, w["line_no"]).alias("line"))))[0]
+    return joined.select(F.explode(got).alias("x")).select("x.*").dropDuplicates(["node"])
+
+
+def _dead(docs: DataFrame, distinct: DataFrame, path: str, similarity: float, shard_size: int) -> DataFrame:
+    """k1, k2 of the distinct lines that are linked to an earlier one."""
+    spark = docs.sparkSession
+    shards = sharded(distinct.select("node", *(f"fp{p}" for p in range(PRINTS))), shard_size)
 
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches):
+            keep = np.flatnonzero(_near(*cols[:4]))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["shard", "mask", "fp", "stored", "node"])
+
+    dealt = shards.select("shard", "mask", "fp", "stored", "node").repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt.mapInArrow(active, "shard bigint, mask int, fp bigint, stored boolean, node bigint").write.parquet(f"{path}/near")
+    near = spark.read.parquet(f"{path}/near")
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    # Ranks go by the first occurrence, so a group's smallest rank is the line that stays.
+    wanted = distinct.join(near.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first.*")
+    wanted.orderBy("doc_id", "th", "line_no").withColumn("rank", F.monotonically_increasing_id()).write.parquet(f"{path}/wanted")
+    wanted = spark.read.parquet(f"{path}/wanted")
+    _lines_of(docs, wanted).write.parquet(f"{path}/texts")
+    verify = near.join(spark.read.parquet(f"{path}/texts"), "node").select("shard", "mask", "fp", "stored", "rank", "line")
+    verify = verify.repartition("shard").sortWithinPartitions("shard", F.desc("stored"), "rank")
+    groups = components(verify.mapInArrow(_verified(REACH, similarity), "a bigint, b bigint"))
+    return wanted.join(groups.where("node <> root").select(F.col("node").alias("rank")), "rank", "left_semi").select("k1", "k2")
+
+
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shard_size: int = SHARD) -> DataFrame:
     """One row a row of ``docs``: doc_id, th (hash of the text), n_lines (with a word), n_kept, removed (array of line numbers from 0).
 
-    Lines are split at line feeds and normalised (case of A-Z, digits, white space). Two lines are linked if they are
-    equal so, or if their SimHashes over words differ in at most ``radius`` of 64 bits and 1 less their edit distance over
-    the longer length is at least ``similarity``. Of each connected group the first occurrence stays, by doc_id (null
+    Lines are split at line feeds and normalised (case of A-Z, digits, white space). Two lines are linked if they are equal
+    so, or if a SimHash of theirs agrees under a mask and differs in at most REACH of 64 bits and 1 less their edit distance
+    over the longer length is at least ``similarity``. Of each connected group the first occurrence stays, by doc_id (null
     first), then hash of the text, then line. Rows with equal doc_id and text are one document, so their lines stay or go
-    alike. Null and empty texts and lines without a word have nothing to remove; an empty table stays empty.
+    alike. Null and empty texts and lines without a word have nothing to remove; an empty table stays empty. Lines of any
+    length are hashed whole, in bounded steps; other columns of ``docs`` take no part, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     path = scratch(spark, "lines")
     line_rows(docs).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    lines = rows.where("line_no >= 0")
-    lines.groupBy("k1", "k2").agg(F.max("fp").alias("fp"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n")).write.parquet(f"{path}/distinct")
+    lines = rows.where("line_no >= 0").select("k1", "k2", "doc_id", "th", "line_no")
+    found = rows.where("line_no >= 0").groupBy("k1", "k2").agg(*(F.max(f"fp{p}").alias(f"fp{p}") for p in range(PRINTS)), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
+    found.withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{path}/distinct")
     distinct = spark.read.parquet(f"{path}/distinct")
-
-    fps = distinct.groupBy("fp").agg(F.count("*").alias("n_keys"))
-    masks = scheme(distinct.count(), radius)
-    shards, _ = sharded(fps.select("fp"), masks, radius)
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, fp in _runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp[_near(shard, fp, radius)]))], names=["fp"])
-
-    dealt = shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    near = dealt.mapInArrow(active, "fp bigint").unionByName(fps.where("n_keys > 1").select("fp")).distinct()
-    near.write.parquet(f"{path}/near")
-    near = spark.read.parquet(f"{path}/near")
-
-    wanted = distinct.join(near, "fp", "left_semi").select("fp", _key().alias("key"), "first.*")
-    _lines_of(docs, wanted).write.parquet(f"{path}/texts")
-    texts = spark.read.parquet(f"{path}/texts")
-    again, levels = sharded(near, masks, radius)
-    # Different lines of one fingerprint meet in a shard of their own; elsewhere such pairs are passed over as judged.
-    verify = again.select("shard", "level", "mask", "fp").join(texts, "fp")
-    verify = verify.select("shard", "level", "mask", "fp", "key", "line").repartition("shard").sortWithinPartitions("shard", "fp", "key")
-    links = verify.mapInArrow(_verified(levels, radius, similarity), "a string, b string")
-    groups = components(links)
-
-    members = distinct.select(_key().alias("node"), "k1", "k2", "first").join(groups, "node")
-    kept = members.groupBy("root").agg(F.min("first").alias("keep"))
-    fuzzy = members.join(kept, "root").select("k1", "k2", "keep", F.lit(True).alias("fuzzy"))
-    exact = distinct.where("n > 1").select("k1", "k2", F.col("first").alias("keep"), F.lit(False).alias("fuzzy"))
-    keep = fuzzy.unionByName(exact).groupBy("k1", "k2").agg(F.max_by("keep", "fuzzy").alias("keep"))
-    gone = F.col("keep").isNotNull() & ~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("keep"))
-    # A line that makes up more than 1 in HOT of all lines would go to one task: there are fewer than HOT such, so they are
+    dead = _dead(docs, distinct, path, similarity, shard_size)
+
+    # What is known of each line that goes somewhere: the place where it stays, if it does, and how often it occurs.
+    several = distinct.where("n > 1").select("k1", "k2", "n", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), F.col("first.line_no").alias("l"), F.lit(False).alias("dead"))
+    known = several.unionByName(dead.withColumn("dead", F.lit(True)), allowMissingColumns=True).groupBy("k1", "k2")
+    known = known.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"), F.any_value("d", F.lit(True)).alias("d"), F.max("h").alias("h"), F.max("l").alias("l"), F.max("dead").alias("dead"))
+    known = checkpoint(known)
+    # A line that makes up more than 1 in HOT of all rows would go to one task: there are fewer than HOT such, so they are
     # broadcast, and only the others are joined by key.
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    hot = distinct.where(F.col("n") * HOT > total).select("k1", "k2")
-    judged = lines.join(F.broadcast(hot.join(keep, ["k1", "k2"], "left")), ["k1", "k2"]).unionByName(lines.join(F.broadcast(hot), ["k1", "k2"], "left_anti").join(keep, ["k1", "k2"], "left"))
-    judged = judged.select("doc_id", "th", "line_no", gone.alias("gone"))
-    # The rows that stand for documents have no key, so they don't take part in the join.
-    judged = judged.unionByName(rows.where("line_no < 0").select("doc_id", "th", "line_no", F.lit(False).alias("gone")))
-    by_doc = judged.groupBy("doc_id", "th").agg(
-        F.count(F.when(F.col("line_no") < 0, 1)).alias("copies"),
-        F.size(F.collect_set(F.when(F.col("line_no") >= 0, F.col("line_no")))).alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
-    )
-    each = by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", "th", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("removed")).cast("long").alias("n_kept"), "removed")
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the lines that duplicates() removes, and without documents that so lose all their words."""
-    found = duplicates(docs, doc_id, text, radius, similarity).where(F.size("removed") > 0).dropDuplicates(["doc_id", "th"])
+    often = F.col("n") * HOT > rows.count()
+    hot, rest = F.broadcast(known.where(often)), known.where(~often)
+    met = lines.join(hot, ["k1", "k2"]).unionByName(lines.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]))
+    stays = ~F.col("dead") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("line_no") == F.col("l"))
+    gone = met.where(~stays).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "removed")
+    each = rows.where("line_no < 0").select("doc_id", "th", F.col("k1").alias("n_lines"))
+    each = each.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return each.select("doc_id", "th", "n_lines", (F.col("n_lines") - F.size(removed)).cast("long").alias("n_kept"), removed.alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the lines that duplicates() removes, and without documents that so lose all their words.
+
+    Nulls, empty and long texts, repeated rows and empty tables as duplicates() says; a row that loses no line stays as it is.
+    """
+    found = duplicates(docs, doc_id, text, similarity).where(F.size("removed") > 0).dropDuplicates(["doc_id", "th"])
     d, h, removed, left = fresh(docs, "_d", "_h", "_removed", "_kept")
     found = found.select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("removed").alias(removed), F.col("n_kept").alias(left))
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")

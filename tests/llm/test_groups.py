@@ -127,9 +127,21 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def mixed(x):
+    m = (1 << 64) - 1
+    x = x + 0x9E3779B97F4A7C15 & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
 def line_fp(ws):
     h = [int.from_bytes(xxhash.xxh64_digest(w, 42), "big") for w in set(ws)]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs)) for hs in (h, [mixed(x) for x in h]))
+
+
+def candidates(f, g):
+    return any((x ^ y).bit_count() <= 8 and any((x ^ y) & m == 0 for m in L.masks()) for x, y in zip(f, g, strict=True))
 
 
 def test_edit_distance():
@@ -145,28 +157,34 @@ def test_line_fingerprints():
     lines = [[rng.choice([b"a", b"bb", b"ccc", b"|", b"e9"]) for _ in range(rng.randint(1, 20))] for _ in range(300)]
     at = [hasher.add(w) for w in lines]
     _, fps = hasher.done()
-    assert all(int(fps[i]) == signed(line_fp(w)) == signed(L._long_line(list(dict.fromkeys(w)))) for i, w in zip(at, lines, strict=True))
+    for i, w in zip(at, lines, strict=True):
+        assert fps[i].tolist() == [signed(x) for x in line_fp(w)] == L._long_line(list(dict.fromkeys(w))).astype(np.int64).tolist()
 
 
-@pytest.mark.parametrize("n", [1, 1 << 20, 1 << 34, 1 << 50])
-def test_masks_miss_no_pair(n):
-    rng = random.Random(n)
-    masks = L.scheme(n)
-    for _ in range(500):
+def test_masks_miss_no_pair():
+    rng = random.Random(6)
+    assert len(L.masks()) == 10
+    for _ in range(2000):
         x = 0
         for _ in range(3):
             x |= 1 << rng.randrange(64)
-        assert any(x & m == 0 for m in masks)
+        assert any(x & m == 0 for m in L.masks())
 
 
-def test_near_finds_every_neighbour():
+@pytest.mark.parametrize("wide", [512, 4])
+def test_near_finds_every_candidate(wide):
     rng = np.random.default_rng(2)
-    shard = np.sort(rng.integers(0, 5, 400))
-    base = rng.integers(-(1 << 62), 1 << 62, 40)
-    fp = base[rng.integers(0, 40, 400)] ^ (np.int64(1) << rng.integers(0, 63, 400)) ^ (np.int64(1) << rng.integers(0, 63, 400)) ^ np.where(rng.random(400) < 0.5, np.int64(-(1 << 63)), np.int64(0))
-    want = [any(i != j and shard[i] == shard[j] and ((int(fp[i]) ^ int(fp[j])) & (2**64 - 1)).bit_count() <= 3 for j in range(400)) for i in range(400)]
-    for wide in (512, 4):
-        assert L._near(shard, fp, 3, wide).tolist() == want
+    n = 300
+    shard = np.sort(rng.integers(0, 5, n))
+    mask, stored = shard.copy(), rng.random(n) < 0.7
+    base = rng.integers(-(1 << 62), 1 << 62, 30)
+    fp = base[rng.integers(0, 30, n)] ^ (np.int64(1) << rng.integers(0, 63, n)) ^ (np.int64(1) << rng.integers(0, 63, n)) ^ np.where(rng.random(n) < 0.5, np.int64(-(1 << 63)), np.int64(0))
+
+    def meet(i, j):
+        x = (int(fp[i]) ^ int(fp[j])) & (2**64 - 1)
+        return i != j and shard[i] == shard[j] and (stored[i] or stored[j]) and x.bit_count() <= 3 and all(x & m for m in L.masks()[: mask[i]])
+
+    assert L._near(shard, mask, fp, stored, 3, wide).tolist() == [any(meet(i, j) for j in range(n)) for i in range(n)]
 
 
 def fixture():
@@ -198,7 +216,7 @@ def brute_lines(rows):
 
     def linked(i, j):
         a, b = occ[i], occ[j]
-        return a[3] == b[3] or (a[4] ^ b[4]).bit_count() <= 3 and levenshtein(a[3], b[3]) <= 0.2 * max(len(a[3]), len(b[3])) + 1e-9
+        return a[3] == b[3] or candidates(a[4], b[4]) and levenshtein(a[3], b[3]) <= 0.2 * max(len(a[3]), len(b[3])) + 1e-9
 
     tops, first = groups(len(occ), linked), {}
     for o, t in zip(occ, tops, strict=True):
@@ -212,13 +230,12 @@ def brute_lines(rows):
 
 
 @pytest.mark.parametrize("shard", [20_000, 5])
-def test_lines_against_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(L.sharded, "__defaults__", (shard,))
+def test_lines_against_brute_force(spark, shard):
     docs = fixture()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"key": F.lit("mine"), "th": F.lit(0)})
     want = brute_lines([(r["doc_id"], r["h"], r["text"]) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct().collect()])
     assert sum(map(len, want.values())) > 100
-    got = L.duplicates(df).collect()
+    got = L.duplicates(df, shard_size=shard).collect()
     assert len(got) == len(docs)
     for r in got:
         assert list(r["removed"]) == want.get((-1 if r["doc_id"] is None else r["doc_id"], r["th"]), [])
