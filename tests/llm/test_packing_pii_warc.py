@@ -92,37 +92,45 @@ def test_long_runs_are_linear():
 
 
 def private(spark):
-    docs = [(i, f"the quick zanzibar wizard wrote to Bob.X@ex.com about the thing today number {i}") for i in range(5)]
-    docs += [(10 + i, f"the thing today is about number and wrote nothing quick {i}") for i in range(30)]
+    docs = [(60 + i, "the quick thing of Bob.X@ex.com is O'Zanzibar, the zanzibar wizard-7 and o'zanzibar again " + "x" * 500 + " far" * 12 + " o'zanzibar wizard-7") for i in range(2)]
+    docs += [(i, f"the quick zanzibar wizard wrote to Bob.X@ex.com about the thing today number {i}") for i in range(5)]
+    docs += [(10 + i, f"the thing today is about number and wrote nothing quick {i}") for i in range(30)] + [(1000 + i, "the thing about number and quick nothing today") for i in range(3000)]
     docs += [(50, None), (51, ""), (52, "the zanzibar wizards live 10.0.0.1 here"), (None, "mail the quick bob.x@ex.com zanzibar"), (53, "the thing 4111 1111 1111 1111 today"), (53, "the thing 4111 1111 1111 1111 today")]
     return spark.createDataFrame(docs, "doc_id bigint, text string"), docs
 
 
-def brute_terms(docs, support=3, threshold=0.9):
+def brute_terms(docs, threshold=0.9):
     import math
 
-    word = lambda t: {w.strip(P.MARKS) for w in re.findall(r"[^ \t-\r]+", t.lower())}
-    df_term, df_entity, joint = {}, {}, {}
-    found = [(t, P.base_spans(t), P.contexts(t, P.base_spans(t)) if t else []) for _, t in docs]
-    for t, _, near in found:
-        for w in word(t or ""):
+    words = lambda t: list(re.finditer(r"[^ \t-\r]+", t or ""))
+    df_term, df_entity, joint, found = {}, {}, {}, []
+    for _, t in docs:
+        base, near, ws = plain(t or ""), set(), words(t)
+        for w in {P.term_of(m[0]) for m in ws} - {None}:
             df_term[w] = df_term.get(w, 0) + 1
-        for e in {c[0] for c in near}:
-            df_entity[e] = df_entity.get(e, 0) + 1
-        for p in {c[:2] for c in near}:
+        free = [m for m in ws if not any(s < m.end() and m.start() < e for _, s, e in base)]
+        for kind, s, e in base:
+            around = [m for m in ws if m.end() <= s][-10:] + [m for m in ws if m.start() >= e][:10]
+            near |= {(x, P.term_of(m[0])) for m in around if m in free for x in P.entities(t, kind, s, e) if P.term_of(m[0])}
+        for x in {x for x, _ in near}:
+            df_entity[x] = df_entity.get(x, 0) + 1
+        for p in near:
             joint[p] = joint.get(p, 0) + 1
+        found.append((base, near, free))
     n, kinds = len(docs), {}
     for (e, w), j in joint.items():
-        ic, pmi = math.log(n / df_entity[e]), math.log(n * j / (df_entity[e] * df_term[w]))
-        if j >= support and ic > 0 and pmi >= ic * threshold:
+        ic, pmi = math.log(n / df_entity[e]), math.log(n * j / (df_entity[e] * (df_term[w] + 1)))
+        if ic > 0 and pmi >= ic * threshold:
             kinds[e, w] = "removed" if j >= df_term[w] else "generalised"
     out = []
-    for _, base, near in found:
-        best = {}
-        for e, w, s, z in near:
-            if (e, w) in kinds:
-                best[s, z] = max(best.get((s, z), ""), kinds[e, w])
-        out.append((base, [(k, s, z) for (s, z), k in sorted(best.items())]))
+    for base, near, free in found:
+        spans = []
+        for m in free:
+            if told := [kinds[e, w] for e, w in near if w == P.term_of(m[0]) and (e, w) in kinds]:
+                inner = m[0].strip(P.MARKS)
+                at = m.start() + m[0].index(inner)
+                spans.append((max(told), at, at + len(inner)))
+        out.append((base, sorted(spans, key=lambda x: x[1:])))
     return out
 
 
@@ -137,11 +145,11 @@ def test_revealing_terms_against_brute_force(spark):
 
 def test_sanitising_masks_and_leaves_the_rest(spark):
     df, docs = private(spark)
-    df = df.withColumns({"base": F.lit("mine"), "rid": F.lit(1)})
+    df = df.withColumns({c: F.lit("mine") for c in ("base", "rid", "_r", "r", "row", "near", "places", "terms", "term", "entity")})
     out = P.sanitize(df)
     assert out.columns == df.columns and out.count() == len(docs)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert texts[0] == "the quick [TERM]  wrote to [EMAIL] about the thing today number 0" and texts[50] is None and texts[12] == docs[7][1] and texts[53] == "the thing [CARD] today"
+    assert texts[0] == "the quick [WORD]  wrote to [EMAIL] about the thing today number 0" and texts[50] is None and texts[12] == "the thing today is about number and wrote nothing quick 2" and texts[53] == "the thing [CARD] today"
     assert P.sanitize(df.limit(0)).count() == 0
     assert P.redact("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a[CARD]f"
 
