@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame
 
 from corvane.llm.common import fresh, table
 
-#: Code points encoded at a time, and the part of a text that is searched for a boundary before a piece is let grow.
-PIECE = 1 << 16
-#: A place where every match of the pattern ends: after a letter or digit, before a space or line feed. No alternative of
-#: the pattern runs from those into white space, and none looks behind, so both sides split as they do in the whole.
-_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])[ \n]")
+#: Code points encoded at a time, and the part of a text that is searched for a boundary before a piece is let grow; white
+#: space beyond which a run isn't left to the regular expression, whose stack it would overflow.
+PIECE, RUN = 1 << 16, 1 << 10
+#: The characters of the pattern's white space.
+_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A place where every match of the pattern ends: after anything else, before white space. No alternative of the pattern
+#: runs from other characters into white space, and none looks behind, so both sides split as they do in the whole.
+_SAFE = regex.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
+_LONG = regex.compile(rf"[{_SPACE}]{{{RUN},}}+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -29,23 +33,35 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """Cuts a long text at safe boundaries; a stretch without any stays whole."""
+def pieces(text: str, size: int = PIECE) -> Iterator[tuple[str, bool]]:
+    """Cuts a long text at safe boundaries; a stretch without any stays whole. The flag tells a piece that is one match.
+
+    White space is one match up to its last character, which goes with what follows, or whole at the text's end. So a long
+    run of it is cut off by that rule instead of by the regular expression.
+    """
     at = 0
-    while len(text) - at > size:
-        found = _SAFE.search(text, at + size)
+    for run in _LONG.finditer(text):
+        yield from _cut(text, at, run.start(), size)
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[run.start() : at], True
+    yield from _cut(text, at, len(text), size)
+
+
+def _cut(text: str, at: int, end: int, size: int) -> Iterator[tuple[str, bool]]:
+    while end - at > size:
+        found = _SAFE.search(text, at + size, end)
         if not found:
             break
-        yield text[at : found.start()]
+        yield text[at : found.start()], False
         at = found.start()
-    yield text[at:] if at else text
+    if at < end:
+        yield text[at:end], False
 
 
 def encode(enc: tiktoken.Encoding, text: str | None) -> Iterator[list[int]]:
     """Token ids of a text, piece by piece; none for null or empty."""
-    for part in pieces(text or ""):
-        if part:
-            yield enc.encode_ordinary(part)
+    for part, whole in pieces(text or ""):
+        yield enc._encode_single_piece(part.encode()) if whole else enc.encode_ordinary(part)
 
 
 def digests(enc: tiktoken.Encoding, text: str | None, spelled: list[bytes] | None = None) -> tuple[int, str, str]:

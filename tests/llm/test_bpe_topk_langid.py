@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import bpe, langid, topk
 
@@ -27,13 +28,27 @@ def test_ids_and_bytes_are_tiktokens(spark):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
 
 
-def test_pieces_split_only_where_tokens_do():
+def test_pieces_split_only_where_tokens_do(monkeypatch):
     rng = random.Random(3)
     enc = bpe.encoding(RANKS, P.PATTERN)
-    for _ in range(400):
-        text = "".join(rng.choice(list("ab1 \n\t'sté.!  日")) for _ in range(rng.randrange(120)))
-        assert "".join(bpe.pieces(text, 7)) == text
-        assert [i for p in bpe.pieces(text, 7) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    monkeypatch.setattr(bpe, "_LONG", bpe.regex.compile(rf"[{bpe._SPACE}]{{3,}}+"))
+    for _ in range(1500):
+        text = "".join(rng.choice(list("ab1    \n\t'sté.!  日\u3000\x85\x1c")) for _ in range(rng.randrange(120)))
+        assert "".join(p for p, _ in bpe.pieces(text, 7)) == text
+        assert [i for ids in bpe.encode(enc, text) for i in ids] == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("n", [5000, 1_000_000])
+def test_long_runs(spark, n):
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    runs = [" " * n, "\n" * n, " \n\t\u3000" * (n // 4), "x" + " " * n + "y", " " * n + "\nz" + "\n" * n, "^" * n, "é" * (n // 2)]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id bigint, text string")
+    for r in bpe.digest_column(docs, RANKS, P.PATTERN).collect():
+        text = runs[r["doc_id"]]
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        if n < 10_000:
+            want = enc.encode_ordinary(text)
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
 
 
 def test_clashing_columns_and_empty_table(spark):
@@ -106,3 +121,43 @@ def test_texts_without_letters_and_without_profiles(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, profiles).collect()}
     assert got[1] == "en" and got[2] == "de" and got[3] == got[4] == "und" and got[5] in profiles
     assert {r["lang_pred"] for r in langid.predict(df, langid.learn(df.limit(0))).collect()} == {"und"}
+
+
+def spelled(text):
+    """Each n-gram of 1 to 3 letters, words set apart by one gap: the plain way."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    words = " " + " ".join(letters.split()) + " "
+    found = {}
+    for n in (1, 2, 3):
+        for k in range(len(words) - n + 1):
+            g = words[k : k + n]
+            if g.strip():
+                found[g] = found.get(g, 0) + 1
+    code = lambda g: sum((0 if c == " " else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    sums = {}
+    for g, n in found.items():
+        sums[code(g)] = sums.get(code(g), 0) + n
+    return sums
+
+
+def test_languages_against_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:120]
+    docs += [(9001, None, "en"), (9002, "", None), (9003, "12 34 !", "de"), (None, "der die das", "de"), (9004, "the of and", None)]
+    ranked = lambda sums: sorted(sums, key=lambda g: (-sums[g], g))[: langid.TOP]
+    sums = {}
+    for d, t, lang in docs:
+        if t is not None and lang is not None and zlib.crc32(str(d).encode()) % 3 != 1 or d is None:
+            for g, n in spelled(t).items():
+                sums.setdefault(lang, {})[g] = sums.get(lang, {}).get(g, 0) + n
+    profiles = {lang: ranked(sums[lang]) for lang in sorted(sums)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").withColumns({"score": F.lit("mine")})
+    got = langid.learn(df.where(langid.fold(F.col("doc_id")) != 1))
+    assert got == profiles
+    for r in langid.predict(df, got).collect():
+        own = ranked(spelled(r["text"] or ""))
+        if not own:
+            assert (r["lang_pred"], r["_score"]) == ("und", 0.0)
+            continue
+        off = {lang: sum(min(abs(p.index(g) - k), langid.TOP) if g in p else langid.TOP for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(off), key=off.get)
+        assert r["lang_pred"] == best and abs(r["_score"] - (1 - off[best] / (langid.TOP * len(own)))) < 1e-12
