@@ -25,12 +25,28 @@ _SAFE = regex.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
 _LONG = regex.compile(rf"[{_SPACE}]{{{RUN},}}+")
 
 
+#: Bytes of the largest rank file that is sent to the executors.
+LARGEST = 1 << 26
+
+
 @functools.lru_cache(maxsize=4)
+def encoding_of(raw: bytes, pattern: str) -> tiktoken.Encoding:
+    """The encoding of a rank file's bytes, without special tokens; made once a process."""
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def ranks(path: str) -> bytes:
+    """The bytes of a rank file on the driver's machine: executors get these, so the path needn't exist there."""
+    with open(path, "rb") as file:
+        raw = file.read(LARGEST + 1)
+    if len(raw) > LARGEST:
+        raise ValueError(f"{path}: a rank file of over {LARGEST} bytes isn't broadcast")
+    return raw
+
+
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a rank file, without special tokens; read once a process."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return encoding_of(ranks(path), pattern)
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[tuple[str, bool]]:
@@ -86,9 +102,10 @@ def _mapped(docs: DataFrame, text: str, extra: dict[str, str], path: str, patter
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held), *(f"`{k}` {v}" for k, v in zip(names, extra.values(), strict=True))])
     places = [i for i, f in enumerate(docs.schema.fields) if keep or f.name != text]
     at = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern)
+        enc = encoding_of(sent.value, pattern)
         for batch in batches:
             added = of(enc, batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *added], names=[*(f.name for f in held), *names])
@@ -109,6 +126,52 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     return _mapped(docs, text, {into: "array<int>"}, path, pattern, of)
 
 
+def sequences(docs: DataFrame, path: str, pattern: str, max_length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, chunk, start (tokens before it), n_tokens, ids: a text's tokens in sequences of at most ``max_length``.
+
+    None is lost: a text of more tokens gives several sequences. Null and empty texts give one without tokens. Texts are
+    encoded piece by piece and rows leave as they fill, so memory doesn't grow with a text.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(ranks(path))
+    names = ["doc_id", "chunk", "start", "n_tokens", "ids"]
+
+    def cut(enc: tiktoken.Encoding, value: str | None) -> Iterator[list[int]]:
+        held: list[int] = []
+        for found in encode(enc, value):
+            held += found
+            full = len(held) - len(held) % max_length
+            full -= max_length * (full == len(held))  # what may be the last waits
+            for k in range(0, full, max_length):
+                yield held[k : k + max_length]
+            del held[: max(full, 0)]
+        yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding_of(sent.value, pattern)
+        for batch in batches:
+            of, chunks, ids, n = [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                sizes = pa.array([len(x) for x in ids], pa.int64())  # noqa: B023
+                starts = pa.array([c * max_length for c in chunks], pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(chunks, pa.int32()), starts, sizes, pa.array(ids, pa.list_(pa.int32()))], names=names)  # noqa: B023
+
+            for k, t in enumerate(batch.column(1)):
+                for c, part in enumerate(cut(enc, t.as_py())):
+                    of.append(k)
+                    chunks.append(c)
+                    ids.append(part)
+                    n += len(part)
+                    if n >= 1 << 20:
+                        yield rows()
+                        of, chunks, ids, n = [], [], [], 0
+            if of:
+                yield rows()
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, chunk int, start bigint, n_tokens bigint, ids array<int>")
+
+
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds ``into``: the raw bytes of an array of ids (ids needn't end at a character). A null array gives no bytes."""
 

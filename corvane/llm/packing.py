@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corvane.llm.common import WORD, checkpoint, fresh, table
+from corvane.llm.bpe import sequences
+from corvane.llm.common import checkpoint, fresh, table
 
 #: Longest sequence, buckets, tokens a batch, sequences numbered by one task.
-MAX_LENGTH, BUCKETS, BUDGET, NUMBERED = 2048, 8, 65536, 50_000
+MAX_LENGTH, BUCKETS, BUDGET, NUMBERED = 2048, 8, 65536, 8192
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -45,17 +46,6 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int = BUC
     return out[::-1]
 
 
-def sequences(docs: DataFrame, length: Column, max_length: int = MAX_LENGTH) -> DataFrame:
-    """doc_id, chunk, n_tokens: a text of more than ``max_length`` tokens is cut into several sequences, none is lost.
-
-    A null length counts as zero, and an empty text is one sequence of no tokens.
-    """
-    n = F.coalesce(length.cast("long"), F.lit(0).cast("long"))
-    pieces = F.greatest(F.ceil(n / max_length), F.lit(1)).cast("int")
-    rows = docs.select("doc_id", n.alias("total"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
-    return rows.select("doc_id", "chunk", F.least(F.lit(max_length).cast("long"), F.col("total") - F.col("chunk").cast("long") * max_length).alias("n_tokens"))
-
-
 def pack(rows: DataFrame, n_tokens: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET, numbered: int = NUMBERED) -> DataFrame:
     """Adds bucket_length and batch_id to sequences (rows with a bounded integer ``n_tokens``, at most MAX_LENGTH).
 
@@ -70,7 +60,7 @@ def pack(rows: DataFrame, n_tokens: str = "n_tokens", buckets: int = BUCKETS, bu
     """
     spark = rows.sparkSession
     bucket_c, batch_c = fresh(rows, "bucket_length", "batch_id")
-    length, part, n_in, shift, at, size, first = fresh(rows, "_length", "_part", "_n", "_shift", "_at", "_size", "_first")
+    length, part, n_in, shift, at, size, first, b, p = fresh(rows, "_length", "_part", "_n", "_shift", "_at", "_size", "_first", "_b", "_p")
     own = rows.columns
     # The histogram and the batches both need the lengths: they are counted once.
     rows = checkpoint(rows.withColumn(length, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0).cast("long"))))
@@ -80,37 +70,42 @@ def pack(rows: DataFrame, n_tokens: str = "n_tokens", buckets: int = BUCKETS, bu
     counts = {r[length]: r["count"] for r in histogram}
     bounds = optimal_boundaries(list(counts), list(counts.values()), buckets)
     plan, start, low = [], 0, -1
-    for b in bounds:
-        n = sum(c for k, c in counts.items() if low < k <= b)
-        per = max(1, budget // max(b, 1))
-        plan.append((b, per, start, max(1, -(-n // numbered))))
-        start, low = start + -(-n // per), b
+    for bound in bounds:
+        n = sum(c for k, c in counts.items() if low < k <= bound)
+        per = max(1, budget // max(bound, 1))
+        plan.append((bound, per, start, max(1, -(-n // numbered))))
+        start, low = start + -(-n // per), bound
     if not plan:
         plan = [(0, 1, 0, 1)]
 
     def chosen(k: int) -> Column:
         """Entry k of the plan of a row's bucket; the plan is a few literals, so no join."""
         out = F.lit(plan[-1][k])
-        for p in reversed(plan[:-1]):
-            out = F.when(F.col(length) <= p[0], F.lit(p[k])).otherwise(out)
+        for entry in reversed(plan[:-1]):
+            out = F.when(F.col(length) <= entry[0], F.lit(entry[k])).otherwise(out)
         return out
 
     rows = rows.withColumns({bucket_c: chosen(0).cast("long"), size: chosen(1).cast("long"), first: chosen(2).cast("long"), part: F.pmod(F.xxhash64(*own), chosen(3).cast("long"))})
     sums = rows.groupBy(bucket_c, part).agg(F.count("*").alias(n_in))
     before = W.partitionBy(bucket_c).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col(bucket_c).alias("_b"), F.col(part).alias("_p"), F.coalesce(F.sum(n_in).over(before), F.lit(0)).alias(shift))
+    sums = sums.select(F.col(bucket_c).alias(b), F.col(part).alias(p), F.coalesce(F.sum(n_in).over(before), F.lit(0)).alias(shift))
     placed = rows.withColumn(at, F.row_number().over(W.partitionBy(bucket_c, part).orderBy(F.xxhash64(*own, F.lit(1)))) - 1)
-    placed = placed.join(sums, (F.col(bucket_c) == F.col("_b")) & (F.col(part) == F.col("_p")))
+    placed = placed.join(sums, (F.col(bucket_c) == F.col(b)) & (F.col(part) == F.col(p)))
     batch = F.col(first) + F.floor((F.col(shift) + F.col(at)) / F.col(size))
     return placed.select(*own, bucket_c, batch.cast("long").alias(batch_c))
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, a token count that needs no vocabulary; null for null."""
-    return F.regexp_count(text, F.lit(WORD))
+def pack_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
+    """doc_id, chunk, start, n_tokens, ids, bucket_length, batch_id: texts as token sequences (see bpe.sequences), packed.
+
+    The rows of a batch_id, with their ids, are a batch to train on: pad each to bucket_length.
+    """
+    return pack(sequences(docs, path, pattern, max_length, doc_id, text))
 
 
 def query(spark, sf_dir):
-    """op3: doc_id, chunk, n_tokens, bucket_length, batch_id for every sequence of every document, in words."""
-    docs = table(spark, sf_dir, "documents")
-    return pack(sequences(docs, words_of(F.col("text"))))
+    """op3: doc_id, chunk, start, n_tokens, ids, bucket_length, batch_id for every sequence of every document's tokens."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

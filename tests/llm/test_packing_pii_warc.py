@@ -9,9 +9,11 @@ import random
 import re
 
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.llm import bpe
 from corvane.llm import packing as K
 from corvane.llm import pii as P
 from corvane.llm import warc as W
@@ -32,18 +34,25 @@ def test_boundaries_are_optimal():
     assert K.optimal_boundaries([], []) == []
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def cut(docs, n=512):
+    return bpe.sequences(docs, RANKS, public_tokenizers.PATTERN, n)
+
+
 @pytest.mark.parametrize("numbered", [50_000, 7])
 def test_packing(spark, sf, numbered):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = K.sequences(docs, K.words_of(F.col("text")), 512)
-    got = K.pack(rows, numbered=numbered).collect()
-    total = {r["doc_id"]: r["n"] for r in docs.select("doc_id", K.words_of(F.col("text")).alias("n")).collect()}
-    sums, sizes = {}, {}
-    for r in got:
-        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["n_tokens"]
-        assert r["n_tokens"] <= r["bucket_length"] and r["n_tokens"] <= 512
+    got = K.pack(cut(docs), numbered=numbered).collect()
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    parts, sizes = {}, {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["chunk"])):
+        assert r["start"] == len(parts.setdefault(r["doc_id"], [])) == 512 * r["chunk"]
+        parts[r["doc_id"]] += r["ids"]
+        assert len(r["ids"]) == r["n_tokens"] <= min(r["bucket_length"], 512)
         sizes.setdefault(r["bucket_length"], {}).setdefault(r["batch_id"], []).append(r["n_tokens"])
-    assert sums == total
+    assert parts == {r["doc_id"]: enc.encode_ordinary(r["text"] or "") for r in docs.collect()}
     ids = sorted(b for x in sizes.values() for b in x)
     assert ids == list(range(len(ids)))
     for bound, batches in sizes.items():
@@ -54,11 +63,12 @@ def test_packing(spark, sf, numbered):
 
 
 def test_packing_of_nulls_empties_and_repeats(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x " * 5000)], "doc_id bigint, text string").withColumns({"_part": F.lit(1), "batch_id": F.lit("mine")})
-    rows = K.sequences(df, K.words_of(F.col("text")))
-    assert sorted(r["n_tokens"] for r in rows.collect()) == [0, 0, 2, 2, 904, 2048, 2048]
-    assert K.pack(rows).count() == 7 and K.pack(rows.limit(0)).count() == 0
-    assert K.pack(df.withColumn("n_tokens", F.lit(3))).columns == [*df.columns, "n_tokens", "bucket_length", "_batch_id"]
+    docs = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, " x" * 5000), (4, " x" * 1024)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = cut(df).withColumns({"_part": F.lit(1), "_b": F.lit(2), "_p": F.lit(3), "batch_id": F.lit("mine")})
+    assert sorted(r["n_tokens"] for r in rows.collect()) == [0, 0, 2, 2, 392, *[512] * 11]
+    assert K.pack(rows).count() == 16 and K.pack(rows.limit(0)).count() == 0
+    assert K.pack(rows).columns == [*rows.columns, "bucket_length", "_batch_id"]
 
 
 # --- personal data

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from corvane.llm import packing, pii, quality, simhash
+from corvane.llm import bpe, packing, pii, quality, simhash
 from tests.llm.test_groups import brute_lines, groups, slow_fingerprint
 from tests.llm.test_packing_pii_warc import brute_terms
 from tests.llm.test_quality import brute
@@ -86,9 +87,9 @@ def test_stages_against_brute_force(spark, folder):
     clean = [(d, pii.redact(t, [*b, *m])) for (d, t), (b, m) in zip(ordered, brute_terms(ordered), strict=True)]
     assert key(pairs(out[3])) == key(clean) and any("[EMAIL]" in t for _, t in clean) and any("[PHONE]" in t for _, t in clean)
 
-    n = {d: len(t.split()) for d, t in clean}
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     got = out[4].collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in got} == n and all(r["n_tokens"] <= r["bucket_length"] <= packing.MAX_LENGTH for r in got)
+    assert {r["doc_id"]: enc.decode(r["ids"]) for r in got} == dict(clean) and all(r["n_tokens"] <= r["bucket_length"] <= packing.MAX_LENGTH for r in got)
     assert {(r["doc_id"], r["n_tokens"], r["bucket_length"]) for r in pipeline.run(spark, folder).collect()} == {(r["doc_id"], r["n_tokens"], r["bucket_length"]) for r in got}
 
 
