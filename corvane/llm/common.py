@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,55 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of a sieve: 2 MB, whatever it is made of.
+SIEVE = 1 << 24
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """64-bit codes, well mixed. The finishing steps of a 64-bit mixer."""
+    x = codes.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sieve(codes: DataFrame) -> np.ndarray:
+    """A table of SIEVE bits that has the bit of every code in ``codes`` (one bigint column), as 64-bit words.
+
+    Broadcast, it keeps most rows that have no counterpart in ``codes`` from a shuffle; the join behind it decides. What
+    comes to the driver is SIEVE / 64 words at most. The more codes, the less it holds back; it never holds back a match.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SIEVE // 64, np.uint64)
+        for batch in batches:
+            at = mixed(batch.column(0).to_numpy()) % np.uint64(SIEVE)
+            np.bitwise_or.at(held, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].astype(np.int64))], names=["at", "word"])
+
+    out = np.zeros(SIEVE // 64, np.uint64)
+    found = codes.mapInArrow(bits, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[found["at"].to_numpy()] = found["word"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def passes(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which codes may be in the sieve ``table``."""
+    at = mixed(codes) % np.uint64(SIEVE)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def sifted(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose bigint ``column`` may be in ``codes``."""
+    sent, at, names = df.sparkSession.sparkContext.broadcast(sieve(codes)), df.columns.index(column), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.flatnonzero(passes(sent.value, batch.column(at).to_numpy(zero_copy_only=False)))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in batch.columns], names=names)
+
+    return df.mapInArrow(run, df.schema)

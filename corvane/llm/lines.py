@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept a group.
 
-A line has two SimHashes over its words. Each is cut into five blocks, and each choice of two blocks is a mask: two
-SimHashes within three bits agree under one of the ten masks at least, and farther ones often do. Lines that agree under a
-mask and differ in at most REACH bits are candidates, and the edit similarity decides.
+A line's SimHash over its words is cut into five blocks, and each choice of two blocks is a mask: two SimHashes within
+three bits agree under one of the ten masks at least, and farther ones often do. Lines that agree under a mask and differ
+in at most REACH bits are candidates, and the edit similarity decides.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpoint, fresh, scratch, table
+from corvane.llm.common import checkpoint, fresh, mixed, passes, scratch, sieve, sifted, table
 from corvane.llm.components import components
 
-#: Bits within which a pair is sure to share a mask, blocks, bits within which such a pair is a candidate, SimHashes a line.
-RADIUS, BLOCKS, REACH, PRINTS = 3, 5, 8, 2
+#: Bits within which a pair is sure to share a mask, blocks, bits within which such a pair is a candidate.
+RADIUS, BLOCKS, REACH = 3, 5, 8
 SIMILARITY, SEED, BITS = 0.8, 42, 64
-#: Lines that a shard may hold before it is cut into parts, words hashed at a time, lines up to which the places asked for
-#: are broadcast (some tens of bytes each), distinct lines that may count as very frequent.
-SHARD, HASHED, BROADCAST, HOT = 1 << 15, 1 << 16, 100_000, 2000
+#: Lines that a shard may hold before it is cut into parts, words hashed at a time, distinct lines that may count as very
+#: frequent.
+SHARD, HASHED, HOT = 1 << 15, 1 << 16, 2000
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
-# By byte: its eight bits as counters of 16 bits, four to an integer.
-_LANES = np.array([[sum(((b >> (7 - i)) & 1) << (16 * (i - at)) for i in range(at, at + 4)) for at in (0, 4)] for b in range(256)], np.uint64)
+# By byte: its eight bits as counters of 8 bits, the first bit in the lowest.
+_LANES = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
 def normalise(line: bytes) -> list[bytes]:
@@ -36,36 +36,20 @@ def normalise(line: bytes) -> list[bytes]:
     return line.lower().translate(_DIGITS).split()
 
 
-def _again(raw: bytes, k: int) -> np.ndarray:
-    """The words' hashes (8 bytes each, big-endian) for SimHash number ``k``, as bytes: the first takes them as they are."""
-    x = np.frombuffer(raw, ">u8").astype(np.uint64)
-    if k:
-        # The finishing steps of a 64-bit mixer.
-        x = x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8)
-
-
 def line_hashes(counts: list[int], raw: bytes) -> np.ndarray:
-    """PRINTS fingerprints a line, given each line's number of words (under 65,536) and all words' 8-byte hashes in a row."""
+    """Fingerprints of lines, given each line's number of words (under 256) and all words' 8-byte hashes in a row."""
     n = np.array(counts)
-    out = []
-    for k in range(PRINTS):
-        lanes = _LANES[_again(raw, k)].reshape(-1, 16)
-        sums = np.add.reduceat(lanes, np.cumsum(n) - n, axis=0).view(np.uint16).reshape(len(n), BITS)
-        out.append(np.packbits(sums.astype(np.int64) * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64))
-    return np.stack(out, axis=1)
+    lanes = _LANES[np.frombuffer(raw, np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(lanes, np.cumsum(n) - n, axis=0).view(np.uint8).reshape(len(n), BITS)
+    return np.packbits(sums > (n // 2).astype(np.uint8)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _long_line(ws: list[bytes]) -> np.ndarray:
-    ones = np.zeros((PRINTS, BITS), np.int64)
+def _long_line(ws: list[bytes]) -> int:
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(ws), HASHED):
         raw = b"".join([xxhash.xxh64_digest(w, SEED) for w in ws[at : at + HASHED]])
-        for k in range(PRINTS):
-            ones[k] += np.unpackbits(_again(raw, k), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(ws), axis=1).view(">u8").ravel().astype(np.uint64)
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(ws)).tobytes(), "big")
 
 
 class _Hasher:
@@ -85,9 +69,9 @@ class _Hasher:
             at = self.place[norm] = len(self.keys)
             self.keys.append(xxhash.xxh3_128_digest(norm, SEED))
             ws = dict.fromkeys(ws)
-            if len(ws) >= 1 << 15:
+            if len(ws) >= 256:
                 self.flush()
-                self.fps.append(_long_line(list(ws))[None])
+                self.fps.append(np.array([_long_line(list(ws))], np.uint64))
             else:
                 digest = xxhash.xxh64_digest
                 self.raw.append(b"".join([digest(w, SEED) for w in ws]))
@@ -105,24 +89,23 @@ class _Hasher:
     def done(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush()
         keys = np.frombuffer(b"".join(self.keys), ">i8").reshape(-1, 2).astype(np.int64)
-        return keys, (np.concatenate(self.fps) if self.fps else np.zeros((0, PRINTS), np.uint64)).astype(np.int64)
+        return keys, (np.concatenate(self.fps) if self.fps else np.zeros(0, np.uint64)).astype(np.int64)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, k1, k2, fp0, fp1 for every line with a word of ``docs`` (doc_id, th, text); and a line -1 a row,
-    whose k1 is the number of such lines."""
-    names = ["doc_id", "th", "line_no", "k1", "k2", *(f"fp{k}" for k in range(PRINTS))]
+    """doc_id, th, line_no, k1, k2, fp for every line with a word of ``docs`` (doc_id, th, text); and a line -1 a row, whose
+    k1 is the number of such lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hasher, n_of, line_no, of = _Hasher(), [], [], []
             for text in batch.column(2):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().translate(_DIGITS).split(b"\n")
                 before = len(of)
                 line_no.append(-1)
                 of.append(-1)
                 for k, line in enumerate(raw):
-                    if ws := normalise(line):
+                    if ws := line.split():
                         line_no.append(k)
                         of.append(hasher.add(ws))
                 n_of.append(len(of) - before)
@@ -130,15 +113,14 @@ def line_rows(docs: DataFrame) -> DataFrame:
             of, n_of = np.array(of), np.array(n_of)
             keys = np.vstack([keys, np.zeros((1, 2), np.int64)])[of]
             keys[of < 0, 0] = n_of - 1
-            fps = np.vstack([fps, np.zeros((1, PRINTS), np.int64)])[of]
+            fps = np.append(fps, 0)[of]
             back = pa.array(np.repeat(np.arange(len(n_of)), n_of))
             for at in range(0, len(of), 1 << 17):
                 some = slice(at, at + (1 << 17))
                 held = [batch.column(0).take(back[some]), batch.column(1).take(back[some]), pa.array(line_no[some], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*held, *(pa.array(x) for x in (*keys[some].T, *fps[some].T))], names=names)
+                yield pa.RecordBatch.from_arrays([*held, *(pa.array(x[some]) for x in (keys[:, 0], keys[:, 1], fps))], names=["doc_id", "th", "line_no", "k1", "k2", "fp"])
 
-    longs = ", ".join(f"{n} bigint" for n in names[3:])
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, {longs}")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, k1 bigint, k2 bigint, fp bigint")
 
 
 def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -156,26 +138,24 @@ def _signed(x: int) -> int:
 
 
 def sharded(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """shard, mask, fp, node, stored of ``nodes`` (node, fp0, fp1): all that share a mask of a SimHash meet in a shard.
+    """shard, fp, node of ``nodes`` (node, fp): all that share a mask meet in a shard, whose last four bits are the mask's number.
 
     A shard of more than about ``shard_size`` lines is cut into parts by hash: each part stores its own lines and is asked
-    by those of the parts after it, so every pair still meets, once, and no task holds more than a part's. Which shards are
-    that large is told from a share of the lines, which decides nothing but the number of parts.
+    by those of the parts after it (as -1 - node), so every pair still meets, once, and no task holds more than a part's.
+    Which shards are that large is told from a share of the lines, which decides nothing but the number of parts.
     """
-    keys = [
-        F.struct(F.xxhash64(F.lit(p), F.lit(k), F.col(f"fp{p}").bitwiseAND(F.lit(_signed(m)))).alias("shard"), F.lit(k).alias("mask"), F.col(f"fp{p}").alias("fp"))
-        for p in range(PRINTS)
-        for k, m in enumerate(masks())
-    ]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("s")).select("s.*", "node")
+    low = lambda hashed, k: hashed.bitwiseAND(F.lit(-16)).bitwiseOR(k)
+    keys = F.array(*(low(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))), F.lit(k)) for k, m in enumerate(masks())))
+    rows = nodes.select(F.explode(keys).alias("shard"), "fp", "node")
     share = max(1, min(64, shard_size // 256))
     told = rows.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size // share)
     large = checkpoint(told.select("shard", F.ceil(F.col("n") * share / shard_size).cast("int").alias("parts")))
     if large.isEmpty():
-        return rows.withColumn("stored", F.lit(True))
+        return rows
     rows = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("home"))))
-    return rows.select(F.xxhash64("shard", "part").alias("shard"), "mask", "fp", "node", (F.col("home") == F.col("part")).alias("stored"))
+    shard = F.when(F.col("parts") > 1, low(F.xxhash64("shard", "part"), F.col("shard").bitwiseAND(F.lit(15)))).otherwise(F.col("shard"))
+    return rows.select(shard.alias("shard"), "fp", F.when(F.col("home") == F.col("part"), F.col("node")).otherwise(-1 - F.col("node")).alias("node"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
@@ -202,15 +182,15 @@ def _differing(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 
 def _first_shared(xor: np.ndarray, mask: np.ndarray | int) -> np.ndarray:
     """Whether ``mask`` is the first under which the values agree: elsewhere the pair is passed over as judged."""
-    ok = np.ones(len(xor), bool)
-    for k, m in enumerate(masks()[:-1]):
-        ok &= (mask <= k) | ((xor & np.int64(_signed(m))) != 0)
-    return ok
+    first = np.full(len(xor), -1)
+    for k, m in reversed(list(enumerate(masks()))):
+        first[(xor & np.int64(_signed(m))) == 0] = k
+    return first == mask
 
 
-def _near(shard: np.ndarray, mask: np.ndarray, fp: np.ndarray, stored: np.ndarray, reach: int = REACH, wide: int = 512) -> np.ndarray:
+def _near(shard: np.ndarray, fp: np.ndarray, stored: np.ndarray, reach: int = REACH, wide: int = 512) -> np.ndarray:
     """Which rows (sorted by shard) have a candidate in their shard, under its mask first; one of the two is stored there."""
-    found = np.zeros(len(fp), bool)
+    found, mask = np.zeros(len(fp), bool), shard & 15
     for o in range(1, min(wide, len(fp))):
         same = shard[o:] == shard[:-o]
         if not same.any():
@@ -272,34 +252,43 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """1 - distance / longer length >= ``least``, as an exact comparison of the allowed distance."""
+    """1 - distance / longer length >= ``least``, as an exact comparison of the allowed distance.
+
+    Lines of as many words whose differing words add up to no more than that need no distance: it is at most their sum.
+    """
     longer = max(len(a), len(b))
     allowed = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    xs, ys = a.split(" "), b.split(" ")
+    if len(xs) == len(ys) and sum([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True) if x != y]) <= allowed:
+        return True
+    return edit_distance(a, b) <= allowed
 
 
 def _verified(reach: int, least: float):
-    """mapInArrow over shard, mask, fp, stored, rank, line (sorted by shard, stored first): pairs of ranks, a forest in each shard."""
+    """mapInArrow over shard, fp, stored, rank, line (sorted by shard, stored first): pairs of ranks, a forest in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, n, fps, group, lines, ranks = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
         for batch in batches:
             links = []
-            for s, mask, fp, stored, rank, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, fp, stored, rank, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     shard, n, lines, ranks, fps, group = s, 0, [], [], np.zeros(16, np.int64), np.zeros(16, np.int64)
                 norm = b" ".join(normalise(line.encode("utf-8", "surrogatepass"))).decode("utf-8", "surrogatepass")
-                xor = fps[:n] ^ fp
-                near = np.flatnonzero(np.bitwise_count(xor.view(np.uint64)) <= reach)
-                near = near[_first_shared(xor[near], mask)] if len(near) else near
-                # One similar line of each group is enough: a tight group of n lines takes n comparisons.
                 met = []
-                for g in np.unique(group[near]).tolist() if len(near) else ():
-                    for j in near[group[near] == g].tolist():
-                        if similar(norm, lines[j], least):
-                            links.append((rank, ranks[j]))
-                            met.append(g)
-                            break
+                if n:
+                    xor = fps[:n] ^ fp
+                    near = np.flatnonzero(np.bitwise_count(xor.view(np.uint64)) <= reach)
+                    near = near[_first_shared(xor[near], s & 15)] if len(near) else near
+                    # One similar line of each group is enough: a tight group of n lines takes n comparisons.
+                    for g in np.unique(group[near]).tolist() if len(near) else ():
+                        for j in near[group[near] == g].tolist():
+                            if similar(norm, lines[j], least):
+                                links.append((rank, ranks[j]))
+                                met.append(g)
+                                break
                 if stored:
                     if n == len(fps):
                         fps, group = np.concatenate([fps, np.zeros(n, np.int64)]), np.concatenate([group, np.zeros(n, np.int64)])
@@ -316,39 +305,65 @@ def _verified(reach: int, least: float):
     return run
 
 
+def _places(document: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    return (document.astype(np.int64).view(np.uint64) ^ mixed(line_no)).view(np.int64)
+
+
 def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, rank, line for the places (doc_id, th, line_no) in ``wanted``: each document is split once."""
-    few = wanted.count() <= BROADCAST
-    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "node", "rank")).alias("want"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "want")
-    if few:
-        by_doc = F.broadcast(by_doc)
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    got = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("want", lambda w: F.struct(w["node"].alias("node"), w["rank"].alias("rank"), F.get(ls, w["line_no"]).alias("line"))))[0]
-    return joined.select(F.explode(got).alias("x")).select("x.*").dropDuplicates(["node"])
+    """node, rank, line for the places (doc_id, th, line_no) in ``wanted``; texts aren't shuffled, only the lines that a
+    sieve of the places lets pass."""
+
+    document = F.xxhash64("doc_id", "th").alias("document")
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["c"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted.select(document, "line_no").mapInArrow(codes, "c bigint")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, numbers, held = [], [], []
+            documents = batch.column(3).to_numpy()
+            for k, text in enumerate(batch.column(2)):
+                ls = (text.as_py() or "").split("\n")
+                for n in np.flatnonzero(passes(sent.value, _places(documents[k : k + 1], np.arange(len(ls))))).tolist():
+                    of.append(k)
+                    numbers.append(n)
+                    held.append(ls[n])
+            if of:
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(held, pa.string())], names=["d", "h", "l", "line"])
+
+    found = docs.select("doc_id", "th", "text", document).mapInArrow(pick, f"d {docs.schema['doc_id'].dataType.simpleString()}, h bigint, l int, line string")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("line_no") == F.col("l"))
+    return found.join(wanted, same).select("node", "rank", "line").dropDuplicates(["node"])
 
 
 def _dead(docs: DataFrame, distinct: DataFrame, path: str, similarity: float, shard_size: int) -> DataFrame:
     """k1, k2 of the distinct lines that are linked to an earlier one."""
     spark = docs.sparkSession
-    shards = sharded(distinct.select("node", *(f"fp{p}" for p in range(PRINTS))), shard_size)
+    shards = sharded(distinct.select("node", "fp"), shard_size)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _runs(batches):
-            keep = np.flatnonzero(_near(*cols[:4]))
+        for shard, fp, node in _runs(batches):
+            keep = np.flatnonzero(_near(shard, fp, node >= 0))
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["shard", "mask", "fp", "stored", "node"])
+                node = node[keep]
+                rows = [shard[keep], fp[keep], node >= 0, np.where(node < 0, -1 - node, node)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["shard", "fp", "stored", "node"])
 
-    dealt = shards.select("shard", "mask", "fp", "stored", "node").repartition("shard").sortWithinPartitions("shard", "fp")
-    dealt.mapInArrow(active, "shard bigint, mask int, fp bigint, stored boolean, node bigint").write.parquet(f"{path}/near")
+    dealt = shards.repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt.mapInArrow(active, "shard bigint, fp bigint, stored boolean, node bigint").write.parquet(f"{path}/near")
     near = spark.read.parquet(f"{path}/near")
 
     # Ranks go by the first occurrence, so a group's smallest rank is the line that stays.
-    wanted = distinct.join(near.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first.*")
+    places = distinct.select("node", "k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line_no").alias("line_no"))
+    wanted = sifted(places, "node", near.select("node")).join(near.select("node").distinct(), "node", "left_semi")
     wanted.orderBy("doc_id", "th", "line_no").withColumn("rank", F.monotonically_increasing_id()).write.parquet(f"{path}/wanted")
     wanted = spark.read.parquet(f"{path}/wanted")
     _lines_of(docs, wanted).write.parquet(f"{path}/texts")
-    verify = near.join(spark.read.parquet(f"{path}/texts"), "node").select("shard", "mask", "fp", "stored", "rank", "line")
+    verify = near.join(spark.read.parquet(f"{path}/texts"), "node").select("shard", "fp", "stored", "rank", "line")
     verify = verify.repartition("shard").sortWithinPartitions("shard", F.desc("stored"), "rank")
     groups = components(verify.mapInArrow(_verified(REACH, similarity), "a bigint, b bigint"))
     return wanted.join(groups.where("node <> root").select(F.col("node").alias("rank")), "rank", "left_semi").select("k1", "k2")
@@ -358,7 +373,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """One row a row of ``docs``: doc_id, th (hash of the text), n_lines (with a word), n_kept, removed (array of line numbers from 0).
 
     Lines are split at line feeds and normalised (case of A-Z, digits, white space). Two lines are linked if they are equal
-    so, or if a SimHash of theirs agrees under a mask and differs in at most REACH of 64 bits and 1 less their edit distance
+    so, or if their SimHashes agree under a mask and differ in at most REACH of 64 bits and 1 less their edit distance
     over the longer length is at least ``similarity``. Of each connected group the first occurrence stays, by doc_id (null
     first), then hash of the text, then line. Rows with equal doc_id and text are one document, so their lines stay or go
     alike. Null and empty texts and lines without a word have nothing to remove; an empty table stays empty. Lines of any
@@ -370,7 +385,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     line_rows(docs).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     lines = rows.where("line_no >= 0").select("k1", "k2", "doc_id", "th", "line_no")
-    found = rows.where("line_no >= 0").groupBy("k1", "k2").agg(*(F.max(f"fp{p}").alias(f"fp{p}") for p in range(PRINTS)), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
+    found = rows.where("line_no >= 0").groupBy("k1", "k2").agg(F.max("fp").alias("fp"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     found.withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{path}/distinct")
     distinct = spark.read.parquet(f"{path}/distinct")
     dead = _dead(docs, distinct, path, similarity, shard_size)
@@ -384,6 +399,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     # broadcast, and only the others are joined by key.
     often = F.col("n") * HOT > rows.count()
     hot, rest = F.broadcast(known.where(often)), known.where(~often)
+    lines = sifted(lines, "k1", known.select("k1"))
     met = lines.join(hot, ["k1", "k2"]).unionByName(lines.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]))
     stays = ~F.col("dead") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("line_no") == F.col("l"))
     gone = met.where(~stays).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
