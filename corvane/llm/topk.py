@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 from corvane.llm.common import checkpoint, scratch, table
 
 K, SLICES, SCALE = 5, 4, 256
-#: Queries whose vectors are broadcast at once, and candidates scored at once.
-QUERY_BLOCK, BLOCK = 4096, 4096
+#: Bytes of the query vectors that are broadcast at once, and candidates scored at once.
+QUERY_BYTES, BLOCK = 1 << 24, 4096
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -99,10 +99,10 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
     """query_id, rank, vec_id, score for a bounded block of queries (rows of id and vector)."""
     spark = candidates.sparkSession
     by_length: dict[int, tuple[list, list]] = {}
-    for r in queries:
-        a, b = by_length.setdefault(len(r["v"]), ([], []))
-        a.append(r["vec_id"])
-        b.append(r["v"])
+    for vec_id, v in queries:
+        a, b = by_length.setdefault(len(v), ([], []))
+        a.append(vec_id)
+        b.append(v)
     sent = spark.sparkContext.broadcast({n: (np.array(a, np.int64), np.array(b, np.int64).reshape(len(a), n)) for n, (a, b) in by_length.items()})
 
     def gather(ids, matrix):
@@ -110,14 +110,16 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
         for at in range(0, len(q_ids), 512):
             some = q[at : at + 512]
             lists = [_exact(some[:, cut], matrix[:, cut]) for cut in _cuts(matrix.shape[1], slices)]
-            total, found = sum(lists), []
+            found = []
             own = q_ids[at : at + 512][:, None] == ids
             for part in lists:
                 part[own] = np.iinfo(np.int64).min // 2
                 found.append(_best(part, k))
             rows, cols = np.unique(np.concatenate(found, axis=1), axis=1)
             keep = ~own[rows, cols]
-            rows, cols, score = _first(rows[keep], cols[keep], total[rows[keep], cols[keep]], ids, k)
+            rows, cols = rows[keep], cols[keep]
+            # Only what a list gave gets its whole score.
+            rows, cols, score = _first(rows, cols, sum(part[rows, cols] for part in lists), ids, k)
             yield q_ids[at : at + 512][rows], ids[cols], score
 
     schema = "query_id bigint, vec_id bigint, score bigint"
@@ -130,6 +132,10 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
     def resolve(ids, matrix):
         q_ids, q = sent.value.get(matrix.shape[1], (np.zeros(0, np.int64), None))
         low = np.array([safe.value.get(i, -(1 << 62)) for i in q_ids.tolist()], np.int64)
+        if len(q_ids):
+            # A score is at most the product of the lengths: queries that no vector of the block can serve are passed over.
+            may = np.linalg.norm(q.astype(np.float64), axis=1) * np.linalg.norm(matrix.astype(np.float64), axis=1).max(initial=0) * (1 + 1e-9) + 1 >= low
+            q_ids, q, low = q_ids[may], q[may], low[may]
         for at in range(0, len(q_ids), 512):
             some, cut_off = q[at : at + 512], low[at : at + 512, None]
             cuts = _cuts(matrix.shape[1], slices)
@@ -150,26 +156,26 @@ def _phases(candidates: DataFrame, queries: list, k: int, slices: int, block: in
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES, query_bytes: int = QUERY_BYTES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates by inner product, exactly.
 
     Both inputs as quantised() gives them: vec_id, v. Only vectors of a query's length are its candidates; those with the
     query's vec_id are its own and aren't. Every row counts, repeated ones too, as in sql(). Ties go to the smaller vec_id.
     No queries or no candidates give no rows. Scores are int64.
 
-    Query vectors are broadcast ``query_block`` at a time, so what is broadcast doesn't grow with the data; each block of
+    Query vectors are broadcast ``query_bytes`` at a time, so what is broadcast doesn't grow with the data; each block of
     queries passes over all candidates twice and is written to the shared folder before the next when there are several.
     """
     spark = candidates.sparkSession
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     candidates = checkpoint(candidates)
-    held, wrote, path = [], 0, scratch(spark, "topk")
-    rows = queries.toLocalIterator(prefetchPartitions=True)
-    for row in rows:
-        held.append(row)
-        if len(held) == query_block:
+    held, size, wrote, path = [], 0, 0, scratch(spark, "topk")
+    for row in queries.toLocalIterator(prefetchPartitions=True):
+        held.append((row["vec_id"], np.array(row["v"], np.int64)))
+        size += held[-1][1].nbytes + 8
+        if size >= query_bytes:
             _phases(candidates, held, k, slices, block).write.mode("append").parquet(path)
-            held, wrote = [], wrote + 1
+            held, size, wrote = [], 0, wrote + 1
     last = _phases(candidates, held, k, slices, block) if held else empty
     if not wrote:
         return last
