@@ -16,7 +16,7 @@ from corvane.llm.components import components
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 #: Shingles whose bits are counted at a time, fingerprints of a shard beyond which it is cut again,
 #: keys of two integers up to which they are broadcast.
-COUNTED, SHARD, BROADCAST = 1 << 16, 4096, 200_000
+COUNTED, SHARD, BROADCAST = 1 << 16, 1 << 14, 200_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -141,7 +141,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> Data
 
     Two values within ``radius`` agree in one of ``radius`` + 1 blocks of their bits, so each block's value names a shard
     and every pair meets in a shard of its own. A shard of more than ``shard_size`` values is cut again by blocks of its
-    other bits, then once more by hash: each of its parts stores its values in a tree that all of the shard's values ask.
+    other bits, then once more by hash: each of its parts stores its values in a tree that the values of the
+    parts after it ask.
     """
     fps = fps.select("fp").distinct()
     first = _blocks(BITS, radius + 1)
@@ -168,9 +169,9 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> Data
     cut = cut.join(n, "shard")
     parts = F.ceil(F.col("n") / shard_size).cast("int")
     home = F.pmod(F.xxhash64("fp", F.lit(1)), parts)
-    # One part: stored and asking at once. More: stored in its own part's tree, asking every other part's.
-    spread = F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
-    cut = cut.select("fp", "shard", home.alias("home"), spread.alias("part")).select(F.xxhash64("shard", "part").alias("shard"), "fp", (F.col("home") == F.col("part")).alias("stored"))
+    # Stored in its own part's tree, asking those of the parts before it: each pair meets once.
+    cut = cut.select("fp", "shard", home.cast("int").alias("home"))
+    cut = cut.select("fp", "shard", "home", F.explode(F.sequence(F.lit(0), F.col("home"))).alias("part")).select(F.xxhash64("shard", "part").alias("shard"), "fp", (F.col("home") == F.col("part")).alias("stored"))
     return shard_links(small.unionByName(cut), radius)
 
 
