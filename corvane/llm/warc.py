@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import scratch, table
+from corvane.llm.common import checkpoint, scratch, table
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.0"
@@ -24,6 +24,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 #: Bytes asked of a file at a time, the longest header read, bytes of payload an archive takes before the next is begun,
 #: records that go to Python at a time.
 READ, HEADER, ARCHIVE, BATCH = 1 << 16, 1 << 20, 1 << 28, 512
+#: Digests (20 bytes and an id each) up to which they are broadcast.
+KNOWN = 200_000
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean"
 
@@ -150,7 +152,8 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
     """The records of an archive in order, each digest checked against its bytes.
 
     A block is passed through the digests as it is decompressed, so memory doesn't grow with a record unless
-    keep_payload. A revisit's payload is that of the record it refers to; its length is what its HTTP head says.
+    keep_payload. A revisit's payload is that of the record it refers to; its length is what its HTTP head says. An HTTP
+    head of more than HEADER bytes counts as payload, and a digest that isn't told can't be wrong.
     """
     members = _Members(stream)
     while members.begin():
@@ -165,16 +168,19 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
         except (KeyError, ValueError) as e:
             raise WarcError("a record without a Content-Length") from e
         kind = head.get("warc-type", "")
-        of_block, of_payload, http, told, n, kept = hashlib.sha1(), hashlib.sha1(), bytearray(), None, 0, bytearray()
+        of_block, of_payload, http, n, kept = hashlib.sha1(), hashlib.sha1(), bytearray(), 0, bytearray()
+        # Only an HTTP message has a head before its payload; of any other record the block is the payload.
+        told = None if head.get("content-type", "").lower().startswith("application/http") else -1
         for part in members.take(length):
             of_block.update(part)
             if told is None:
+                seen = max(0, len(http) - 3)
                 http += part
-                end = http.find(b"\r\n\r\n")
-                if end < 0:
+                end = http.find(b"\r\n\r\n", seen)
+                if end < 0 and len(http) <= HEADER:
                     continue
-                found = re.search(rb"(?im)^content-length:\s*(\d+)", http[:end])
-                told, part = int(found[1]) if found else -1, bytes(http[end + 4 :])
+                found = re.search(rb"(?im)^content-length:\s*(\d+)", http[: max(end, 0)])
+                told, part = int(found[1]) if found else -1, bytes(http[end + 4 :]) if end >= 0 else bytes(http)
             of_payload.update(part)
             n += len(part)
             if keep_payload:
@@ -187,7 +193,7 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
         if kind == "revisit":
             n = max(told or 0, 0)
         else:
-            ok = ok and base64.b32encode(of_payload.digest()).decode() == digest and told in (None, -1, n)
+            ok = ok and digest in ("", base64.b32encode(of_payload.digest()).decode()) and told in (None, -1, n)
         uri = head.get("warc-target-uri")
         yield Record(_page(head.get("warc-record-id")), None if uri is None else _unline(uri), kind, _page(head.get("warc-refers-to")), n, digest, ok, bytes(kept) if keep_payload and kind != "revisit" else None)
 
@@ -197,11 +203,16 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     payload is html in UTF-8, empty for null. Of equal payloads of at least ``min_bytes`` that with the largest page_id is
     the response and the others revisit it; smaller payloads are all responses. Repeated rows of that page_id are
-    responses all; a null page_id counts as smaller than any. Only digests are grouped, and they are counted by task
-    before they are dealt; a digest of a third of the pages is a skewed key that adaptive execution splits.
+    responses all; a null page_id counts as smaller than any. Null and empty html are one payload, the empty one; no rows
+    give no records. Only digests are grouped, and they are counted by task before they are dealt. Those of payloads that
+    occur twice or more are broadcast up to KNOWN of them, so payloads stay where they are; beyond, payloads are dealt by
+    digest, and a digest of a third of the pages is a skewed key that adaptive execution splits.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = checkpoint(first)
+    if first.count() <= KNOWN:
+        first = F.broadcast(first)
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -209,7 +220,8 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE) ->
     """Writes archives of ``records`` (page_id, url, payload, refers_to) into ``folder``; returns path, records, bytes of each.
 
     ``folder`` is a URI that all executors reach. Each task attempt writes files of its own names, and the list of files
-    is written last, from the attempts that Spark took; files of lost or repeated attempts are never listed.
+    is written last, from the attempts that Spark took; files of lost or repeated attempts are never listed. Null urls are
+    left out of a record, null payloads are empty, a null page_id is written as none; no records give no archives.
     """
     spark = records.sparkSession
 

@@ -7,6 +7,7 @@ import io
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -179,9 +180,10 @@ def test_pii_query_columns(spark, sf):
 PAGES = [(1, "http://a/\r\nx%", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (5, "u", "x\r\n\r\ny" * 50_000), (6, "u", "x\r\n\r\ny" * 50_000), (7, "v", "once")]
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, monkeypatch):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("digest", F.lit("mine")).repartition(3)
-    for least, archive in ((0, W.ARCHIVE), (100, 1)):
+    for least, archive, known in ((0, W.ARCHIVE, 0), (100, 1, W.KNOWN)):
+        monkeypatch.setattr(W, "KNOWN", known)
         files = W.write_warc(W.mark_revisits(pages, least), scratch(spark, "warc"), archive)
         got = {r["page_id"]: r for r in W.read_warc(spark, files, payload=True).collect()}
         assert len(got) == len(PAGES)
@@ -206,6 +208,21 @@ def test_one_member_a_record_and_any_chunking(monkeypatch):
         assert [r.payload for r in W.read_records(io.BytesIO(part), True)] == [(h or "").encode() for _, _, h in small]
 
 
+def plain_record(kind, content_type, block, digest=True):
+    told = f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}\r\n" if digest else ""
+    return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: {content_type}\r\n{told}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+
+def test_records_without_an_http_head():
+    blocks = [("resource", "text/plain", b"x" * 30_000_000), ("metadata", "application/warc-fields", b"a: b\r\n\r\nrest"), ("warcinfo", "application/warc-fields", b"")]
+    raw = b"".join(plain_record(*b) for b in blocks) + plain_record("resource", "text/plain", b"no digest", digest=False)
+    raw += plain_record("response", "application/http; msgtype=response", b"never ends " * 300_000)
+    began = time.perf_counter()
+    got = [(r.record_type, r.payload_bytes, r.digest_ok) for r in W.read_records(io.BytesIO(raw))]
+    assert got == [*((k, len(b), True) for k, _, b in blocks), ("resource", 9, True), ("response", 3_300_000, True)]
+    assert time.perf_counter() - began < 10
+
+
 def test_damage_is_told():
     good = W.record(1, "u", b"payload", None)
     raw = gzip.decompress(good)
