@@ -78,7 +78,7 @@ class Profile:
         s, ms = self.state, sane_time(event_ms, clock)
         made = "canonical_id" not in s
         if made:
-            s.update(canonical_id=e["canonical_id"], tenant_id=e["tenant_id"], first_seen=ms, last_seen=ms, total=0, kinds={}, days={}, session_days={}, sessions=0, session=None, last_session="", closed=0, closed_ms=0, pages={}, features={}, told=None)
+            s.update(canonical_id=e["canonical_id"], tenant_id=e["tenant_id"], first_seen=ms, last_seen=ms, total=0, kinds={}, days={}, session_days={}, sessions=0, session=None, closed=0, closed_ms=0, pages={}, features={}, told=None)
             s.update(user_id="", last_page="", last_country="", last_device="", last_browser="")
         today = day(ms)
         s["last_seen"] = max(s["last_seen"], ms)
@@ -91,14 +91,11 @@ class Profile:
             if e.get(c):
                 s[into][e[c]] = s[into].get(e[c], 0) + 1
         if sid := e.get("session_id"):
-            if sid != s["last_session"]:
+            # A timeout forgets the id, so the same one coming back is a new session.
+            if s["session"] is None or sid != s["session"]["id"]:
                 s["sessions"] += 1
                 s["session_days"][today] = s["session_days"].get(today, 0) + 1
-                s["session"], s["last_session"] = {"id": sid, "start": ms, "last": ms}, sid
-            elif s["session"] is None:
-                s["session"] = {"id": sid, "start": ms, "last": ms}
-            else:
-                s["session"]["last"] = max(s["session"]["last"], ms)
+                s["session"] = {"id": sid, "start": ms}
         self._prune(clock)
         # Activity calls off what was due; the session's deadline counts from this event, even an older one.
         s["timers"] = {"session": ms + GAP_MS}
@@ -121,7 +118,8 @@ class Profile:
                 if s["session"] is None:
                     continue  # no session to close: nothing to tell, and nothing decays
                 s["closed"] += 1
-                s["closed_ms"] += s["session"]["last"] - s["session"]["start"]
+                # Events without a session id lengthen the session too.
+                s["closed_ms"] += max(0, s["last_seen"] - s["session"]["start"])
                 s["session"] = None
                 self.timers.update({d: s["last_seen"] + n * DAY_MS for d, n in DECAYS.items()})
                 out.append(self.publish("update", "session_timeout", day(ms), clock))

@@ -12,8 +12,11 @@ from corvane.operators import sessions as S
 
 KEY = ["tenant_id", "canonical_id"]
 TOP_PAGES, TOP_FEATURES = 5, 3
-#: Compared to tell which fields of a profile changed, and what a new profile tells instead.
-COMPARED = ("total_events", "page_views", "clicks", "logins", "feature_uses", "user_id", "last_page", "last_country", "last_device", "last_browser", "top_pages", "top_features")
+#: Compared to tell which fields of a profile changed, and what a new profile tells instead.
+COMPARED = (
+    "total_events", "total_sessions", "last_seen", "page_views", "clicks", "logins", "feature_uses",
+    "last_page", "last_country", "last_device", "last_browser", "avg_session_duration_sec",
+)
 ON_CREATE = ("canonical_id", "tenant_id", "total_events", "first_seen", "last_seen")
 
 
@@ -112,8 +115,17 @@ def with_action(new: DataFrame, old: DataFrame | None) -> DataFrame:
     return new.join(known, KEY, "left").withColumn("action", F.when(F.col("_known"), "update").otherwise("create")).drop("_known")
 
 
+def with_sessions(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Profiles with total_sessions, the sessions started along ``events``."""
+    started = S.start_counts(events, F.current_date()).select(*KEY, "total_sessions")
+    return rows.join(started, KEY, "left").withColumn("total_sessions", F.coalesce("total_sessions", F.lit(0).cast("long")))
+
+
 def changed_fields(new: DataFrame, old: DataFrame, compared: tuple[str, ...] = COMPARED) -> DataFrame:
-    """tenant_id, canonical_id, action, changed_fields; a profile without a change has an empty list."""
+    """tenant_id, canonical_id, action, changed_fields; a profile without a change has an empty list.
+
+    Both have the 21 fields and total_sessions (see with_sessions).
+    """
     before = old.select(*KEY, F.struct(*compared).alias("_o"))
     joined = new.join(before, KEY, "left")
     names = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_o.{c}")), F.lit(c)) for c in compared)))

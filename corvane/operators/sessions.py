@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.columns import epoch_ms, last_value, present, text_ms
-from corvane.functions.schemas import WINDOWS_DAYS
+from corvane.functions.schemas import WINDOWS_DAYS, EventType
 
 GAP, LATENESS_MS = "30 minutes", 5000
+TYPES = tuple(sorted(t.value for t in EventType))
 
 
 def windows(events: DataFrame, gap: str = GAP) -> DataFrame:
@@ -25,12 +26,16 @@ def windows(events: DataFrame, gap: str = GAP) -> DataFrame:
         F.max("event_ts").alias("end_ts"),
         F.count("*").alias("event_count"),
         F.array_sort(F.collect_set(F.when(present("page_url"), F.col("page_url")))).alias("pages"),
-        F.collect_list("event_type").alias("types"),
+        *(F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in TYPES),
+        F.collect_list(F.when(~F.col("event_type").isin(*TYPES), F.col("event_type"))).alias("others"),
         last_value("device_type", "event_ts", "seq").alias("device_type"),
         last_value("browser", "event_ts", "seq").alias("browser"),
         last_value("country", "event_ts", "seq").alias("country"),
     )
-    counted = F.transform(F.array_sort(F.array_distinct("types")), lambda t: F.struct(t.alias("key"), F.size(F.filter("types", lambda x: x == t)).alias("value")))
+    # The types of the domain are counted as they come; only others, which sources should not send, are listed.
+    known = F.array(*(F.struct(F.lit(t).alias("key"), F.col(f"n_{t}").cast("int").alias("value")) for t in TYPES))
+    other = F.transform(F.array_distinct("others"), lambda t: F.struct(t.alias("key"), F.size(F.filter("others", lambda x: x == t)).alias("value")))
+    counted = F.array_sort(F.concat(F.filter(known, lambda x: x["value"] > 0), other))
     return found.select(
         "tenant_id", "session_id", "canonical_id", "start_ts", "end_ts", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_count", "pages",
         F.map_from_entries(counted).alias("event_types"), "device_type", "browser", "country", (epoch_ms("end_ts") - epoch_ms("start_ts")).alias("duration_ms"),
@@ -88,6 +93,15 @@ def closed_calendar(sessions: DataFrame, today) -> DataFrame:
     return sessions.groupBy("tenant_id", "canonical_id").agg(F.count("*").alias("total_sessions"), *counts)
 
 
+def reset_closed(current: DataFrame, closed_rows: DataFrame) -> DataFrame:
+    """A keyed MERGE of closures into the open sessions (tenant_id, canonical_id, session_id, start_ts): a row that a closed
+    session of that key, id and start matches loses its session; the rest is left alone."""
+    ended = closed_rows.select("tenant_id", "canonical_id", "session_id", "start_ts").distinct().withColumn("_ended", F.lit(True))
+    keys = ["tenant_id", "canonical_id", "session_id", "start_ts"]
+    left = lambda c: F.when(F.col("_ended").isNull(), F.col(c)).alias(c)
+    return current.join(ended, keys, "left").select("tenant_id", "canonical_id", left("session_id"), left("start_ts"))
+
+
 def start_counts(events: DataFrame, today) -> DataFrame:
     """Changes to another present session id along a person's arrivals (A,A,B,A,null,'',A is three), total and by day range."""
     w = W.partitionBy("tenant_id", "canonical_id").orderBy("seq")

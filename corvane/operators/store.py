@@ -15,6 +15,8 @@ EVENT_DIMS = ["tenant_id", "event_date", "event_hour", "country", "event_type",
 SESSION_DIMS = ["tenant_id", "session_date", "session_hour", "country", "device_type", "browser"]
 HLL_LOG2M = 8
 RETENTION_DAYS, DEDUP_DAYS = 90, 3
+#: Rows of a file.
+FILE_ROWS = 1_000_000
 
 
 def ingest_events(unified: DataFrame) -> DataFrame:
@@ -55,6 +57,12 @@ def cdc(old: DataFrame, new: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return both.select(*keys, op.alias("op"), "before", "after")
 
 
+def debezium(changes: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The rows of cdc() as change messages: the keys, and value, JSON of before, after (with the keys; null if absent) and op."""
+    whole = lambda side: F.when(F.col(side).isNotNull(), F.struct(*keys, f"{side}.*")).alias(side)
+    return changes.select(*keys, F.to_json(F.struct(whole("before"), whole("after"), "op"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def events_rollup(events: DataFrame) -> DataFrame:
     """The event cube: counts and mergeable sketches of distinct sessions and persons at full grain."""
     return events.groupBy(*EVENT_DIMS).agg(
@@ -86,13 +94,29 @@ def users_from_cube(cube: DataFrame, dims: list[str]) -> DataFrame:
     return cube.groupBy(*dims).agg(F.hll_sketch_estimate(F.hll_union_agg("users_hll")).alias("users"))
 
 
+def spread(rows: DataFrame, keys: list[str], day, per_task: int = FILE_ROWS) -> DataFrame:
+    """``rows`` dealt by ``keys``, day and a salt of as many values as their count asks for, so a hot tenant or day is many
+    tasks and a quiet one a single file."""
+    rows = rows.withColumn("_day", day)
+    counts = rows.groupBy(*keys, "_day").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_salts")).where("_salts > 1")
+    large = [F.col(f"_k{k}").eqNullSafe(F.col(c)) for k, c in enumerate((*keys, "_day"))]
+    counts = counts.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate((*keys, "_day"))), "_salts")
+    condition = large[0]
+    for c in large[1:]:
+        condition = condition & c
+    joined = rows.join(counts, condition, "left")
+    out = [c for c in rows.columns if c != "_day"]
+    plain = [f.name for f in rows.schema.fields if f.name != "_day" and f.dataType.typeName() in ("string", "long", "integer", "timestamp_ntz")]
+    salt = F.pmod(F.xxhash64(*plain), F.coalesce("_salts", F.lit(1)))
+    return joined.repartition(*keys, "_day", salt).select(*out)
+
+
 def write_lake(unified: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by tenant, sorted by time inside files, with bloom filters on the two ids that are looked up."""
-    rows = unified.select(*EVENT_COLUMNS, F.col("tenant_id").alias("_t"))
-    rows = rows.repartition("tenant_id", F.pmod(F.hash("canonical_id"), F.lit(8))).sortWithinPartitions("event_time")
+    rows = spread(unified.select(*EVENT_COLUMNS), ["tenant_id"], F.substring("event_time", 1, 10)).sortWithinPartitions("event_time")
     (
-        rows.drop("_t").write.mode(mode).partitionBy("tenant_id")
-        .option("parquet.bloom.filter.enabled#canonical_id", "true").option("parquet.bloom.filter.enabled#event_id", "true").option("maxRecordsPerFile", 1_000_000)
+        rows.write.mode(mode).partitionBy("tenant_id")
+        .option("parquet.bloom.filter.enabled#canonical_id", "true").option("parquet.bloom.filter.enabled#event_id", "true").option("maxRecordsPerFile", FILE_ROWS)
         .parquet(path)
     )
 

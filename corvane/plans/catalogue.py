@@ -12,6 +12,7 @@ from corvane.functions import validate as V
 from corvane.functions.columns import bucket_label, epoch_ms, one_decimal
 from corvane.functions.schemas import PROFILE_RELEASE, DeviceType, Dimension, EventType, Metric, Order, ProfileSort, TimeRange
 from corvane.operators.store import HLL_LOG2M, display
+from corvane.operators.stored import Stored
 
 EVENT_VIEW = ["event_id", "event_type", "tenant_id", "event_time", "canonical_id", "user_id", "session_id", "page_url", "device_type", "browser", "country"]
 PROFILE_VIEW = [f.name for f in PROFILE_RELEASE.fields if f.name != "action"]
@@ -20,13 +21,34 @@ TOP = 10
 
 @dataclass
 class Tables:
-    """Stored tables: events and sessions with their date and hour columns, profiles upserted."""
+    """Stored tables: events and sessions with their date and hour columns, profiles upserted, the two cubes.
 
-    events: DataFrame
-    sessions: DataFrame
-    profiles: DataFrame
+    source has a method for each, called when a query names the table.
+    """
+
+    source: Stored
     now: str
 
+    @property
+    def events(self) -> DataFrame:
+        return self.source.events()
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self.source.sessions()
+
+    @property
+    def profiles(self) -> DataFrame:
+        return self.source.profiles()
+
+    @property
+    def event_cube(self) -> DataFrame:
+        return self.source.event_cube()
+
+    @property
+    def session_cube(self) -> DataFrame:
+        return self.source.session_cube()
+
 
 def cutoff(now: str, span: TimeRange) -> datetime:
     """now less the range, floored to the hour for a day and to the day otherwise."""
@@ -37,7 +59,8 @@ def cutoff(now: str, span: TimeRange) -> datetime:
 def _since(prefix: str, now: str, span: TimeRange) -> Column:
     """On the derived text column, so that partitions by date are pruned."""
     at = cutoff(now, span)
-    return F.col(f"{prefix}_hour") >= at.strftime("%Y-%m-%d %H") if span.hourly else F.col(f"{prefix}_date") >= at.strftime("%Y-%m-%d")
+    days = F.col(f"{prefix}_date") >= at.strftime("%Y-%m-%d")
+    return days & (F.col(f"{prefix}_hour") >= at.strftime("%Y-%m-%d %H")) if span.hourly else days
 
 
 def _bucket(prefix: str, span: TimeRange) -> str:

@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import display as D
 from corvane.functions.columns import event_date, event_hour, text_ms
-from corvane.functions.schemas import PROFILE_RELEASE, TimeRange
+from corvane.functions.display import COUNTRIES
+from corvane.functions.schemas import PROFILE_RELEASE, UNIFIED_EVENT, TimeRange
 from corvane.operators import admission, identity, profiles, sessions, store
 from corvane.operators.state import shared_folder
+from corvane.operators.stored import Stored
 from corvane.plans import catalogue as C
 from corvane.plans.oracles import label, over, since
+from corvane.sinks import writers
+from corvane.sources import readers
 from corvane.sources.driver_events import NOW, raw_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,27 +40,18 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.unified(identity.resolve(raw_events(spark, sf_dir)))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Stored:
+    """The tables built from the driver's events; the first query that asks builds them, the others read."""
+    return Stored(spark, f"{sf_dir}/events.parquet", lambda: raw_events(spark, sf_dir))
+
+
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unified events as a table in the shared folder, as the pipeline stores them: for queries that read them more than
-    once, so that identity is resolved once and every branch reads its own columns only."""
-    path = f"{shared_folder(spark)}/unified-{uuid.uuid4().hex}"
-    unified(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def tables(spark: SparkSession, sf_dir: str, canonical: bool = True, with_sessions: bool = False, with_profiles: bool = False, several: bool = False) -> C.Tables:
-    """Stored tables from the driver's events; a query that needs no canonical id doesn't pay for identity.
-
-    several: events are read more than once.
-    """
-    build = written if with_profiles or several else unified
-    rows = build(spark, sf_dir) if canonical else raw_events(spark, sf_dir).withColumn("canonical_id", F.lit(None).cast("string"))
-    return C.Tables(
-        store.ingest_events(rows),
-        store.ingest_sessions(sessions.windows(rows)) if with_sessions else None,
-        profiles.snapshot(rows) if with_profiles else None,
-        NOW,
-    )
+    """The unified events as they are stored: identity is resolved once, and each branch reads its own columns only."""
+    return stored(spark, sf_dir).events()
+
+
+def tables(spark: SparkSession, sf_dir: str) -> C.Tables:
+    return C.Tables(stored(spark, sf_dir), NOW)
 
 
 def joined(c: str) -> F.Column:
@@ -159,13 +155,22 @@ def _(spark, sf_dir):
     return sessions.closed_metrics(sessions.closed_by_stream(written(spark, sf_dir))).select("tenant_id", "canonical_id", "avg_session_duration_sec")
 
 
+#: The date of the event that arrived last.
+TODAY = "(SELECT CAST(arg_max(event_ts, seq) AS DATE) FROM unified)"
+
+
+def _dated(rows: DataFrame, of: DataFrame) -> DataFrame:
+    return rows.crossJoin(F.broadcast(profiles.reference_date(of)))  # one row
+
+
 def _ranges(day: str, value: str) -> str:
-    return ", ".join(f"CAST(coalesce(sum(CASE WHEN {day} BETWEEN DATE '2024-01-30' - {n - 1} AND DATE '2024-01-30' THEN {value} ELSE 0 END), 0) AS BIGINT) AS sessions_{n}d" for n in (1, 7, 30, 90))
+    return ", ".join(f"CAST(coalesce(sum(CASE WHEN {day} BETWEEN {TODAY} - {n - 1} AND {TODAY} THEN {value} ELSE 0 END), 0) AS BIGINT) AS sessions_{n}d" for n in (1, 7, 30, 90))
 
 
 @query("closed_calendar", over(f"SELECT tenant_id, canonical_id, count(*) AS total_sessions, {_ranges('CAST(start_ts AS DATE)', '1')} FROM done GROUP BY tenant_id, canonical_id", "done"))
 def _(spark, sf_dir):
-    return sessions.closed_calendar(sessions.closed_by_stream(written(spark, sf_dir)), F.lit("2024-01-30").cast("date"))
+    rows = written(spark, sf_dir)
+    return sessions.closed_calendar(_dated(sessions.closed_by_stream(rows), rows), F.col("today"))
 
 
 @query(
@@ -177,7 +182,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return sessions.start_counts(unified(spark, sf_dir), F.lit("2024-01-30").cast("date"))
+    rows = written(spark, sf_dir)
+    return sessions.start_counts(_dated(rows, rows), F.col("today"))
 
 
 @query("current_sessions", over("SELECT tenant_id, session_id, canonical_id, CAST(duration_ms // 1000 AS BIGINT) AS duration_sec FROM sess WHERE end_ts + INTERVAL 30 MINUTE > (SELECT max(event_ts) - INTERVAL 5 SECOND FROM unified)", "sess"))
@@ -239,18 +245,28 @@ def _(spark, sf_dir):
     return flat(profiles.with_action(profiles.snapshot(rows), profiles.lifetime(_early(rows))))
 
 
+def _started(source: str) -> str:
+    return f"""SELECT tenant_id, canonical_id, sum(begins) AS total_sessions FROM (
+  SELECT *, CASE WHEN session_id <> '' AND session_id IS DISTINCT FROM last_value(nullif(session_id, '') IGNORE NULLS) OVER (PARTITION BY tenant_id, canonical_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS begins FROM {source}) GROUP BY tenant_id, canonical_id"""
+
+
+# The fields that are compared, in the order told.
+CHANGES = """total_events total_sessions last_seen page_views clicks logins feature_uses last_page last_country last_device last_browser avg_session_duration_sec""".split()
+
+
 @query(
     "profile_changed_fields",
     over(
         "SELECT p.tenant_id, p.canonical_id, CASE WHEN e.tenant_id IS NULL THEN 'create' ELSE 'update' END AS action, CASE WHEN e.tenant_id IS NULL THEN 'canonical_id,tenant_id,total_events,first_seen,last_seen' ELSE concat_ws(',', "
-        + ", ".join(f"CASE WHEN p.{c} IS DISTINCT FROM e.{c} THEN '{c}' END" for c in profiles.COMPARED)
-        + ") END AS changed_fields FROM profiles p LEFT JOIN early_profiles e USING (tenant_id, canonical_id)",
-        "profiles", "early_profiles",
+        + ", ".join(f"CASE WHEN p.{c} IS DISTINCT FROM e.{c} THEN '{c}' END" for c in CHANGES)
+        + f") END AS changed_fields FROM (SELECT * FROM profiles JOIN ({_started('unified')}) USING (tenant_id, canonical_id)) p LEFT JOIN (SELECT * FROM early_profiles JOIN ({_started('early')}) USING (tenant_id, canonical_id)) e USING (tenant_id, canonical_id)",
+        "profiles", "early_profiles", "early",
     ),
 )
 def _(spark, sf_dir):
     rows = written(spark, sf_dir)
-    return flat(profiles.changed_fields(profiles.snapshot(rows), profiles.snapshot(_early(rows))))
+    of = lambda events: profiles.with_sessions(profiles.snapshot(events), events)
+    return flat(profiles.changed_fields(of(rows), of(_early(rows))))
 
 
 def _branches(rows: DataFrame):
@@ -286,7 +302,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = written(spark, sf_dir)
-    counted = sessions.start_counts(rows, F.lit("2024-01-30").cast("date")).where("total_sessions > 0")
+    counted = sessions.start_counts(_dated(rows, rows), F.col("today")).where("total_sessions > 0")
     return profiles.lifetime(rows).select("tenant_id", "canonical_id", "total_events").join(counted, profiles.KEY)
 
 
@@ -316,13 +332,85 @@ def _(spark, sf_dir):
     return out.select("tenant_id", "canonical_id", "op", F.coalesce("before.n", F.lit(-1)).alias("before_total"), F.coalesce("after.n", F.lit(-1)).alias("after_total"))
 
 
+@query(
+    "cdc_messages",
+    over(
+        """SELECT tenant_id, canonical_id, CASE WHEN e.n IS NULL THEN 'c' WHEN f.n IS NULL THEN 'd' ELSE 'u' END AS op, e.n AS before_total, f.n AS after_total, CASE WHEN f.n IS NULL THEN NULL ELSE canonical_id END AS after_id
+FROM (SELECT tenant_id, canonical_id, count(*) AS n FROM early GROUP BY ALL) e FULL JOIN (SELECT tenant_id, canonical_id, count(*) AS n FROM unified WHERE event_ts >= TIMESTAMP '2024-01-08' GROUP BY ALL) f USING (tenant_id, canonical_id)
+WHERE e.n IS DISTINCT FROM f.n""",
+        "early",
+    ),
+)
+def _(spark, sf_dir):
+    """Change messages, written as JSON lines and read back."""
+    rows = written(spark, sf_dir)
+    count = lambda df: df.groupBy(*profiles.KEY).agg(F.count("*").alias("n"))
+    changes = store.cdc(count(_early(rows)), count(rows.where("event_ts >= TIMESTAMP_NTZ '2024-01-08 00:00:00'")))
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    store.debezium(changes).select("value").write.text(path)
+    said = lambda p: F.get_json_object("value", f"$.{p}")
+    either = lambda c: F.coalesce(said(f"after.{c}"), said(f"before.{c}")).alias(c)
+    return spark.read.text(path).select(
+        either("tenant_id"), either("canonical_id"), said("op").alias("op"), said("before.n").cast("long").alias("before_total"), said("after.n").cast("long").alias("after_total"), said("after.canonical_id").alias("after_id")
+    )
+
+
+@query("json_sink", over(f"SELECT {COLUMNS17} FROM unified", "unified"))
+def _(spark, sf_dir):
+    """Unified events as JSON lines, read back by the declared schema."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    writers.write_json(written(spark, sf_dir).select(*store.EVENT_COLUMNS), path)
+    return readers.json_events(spark, path, UNIFIED_EVENT).select(*store.EVENT_COLUMNS)
+
+
+@query("keyed_records", over("SELECT canonical_id AS key, event_id, event_type, coalesce(page_url, 'none') AS page_url FROM unified", "unified"))
+def _(spark, sf_dir):
+    """What the keyed sink sends: the person as key, the event as JSON."""
+    said = writers.records(written(spark, sf_dir).select(*store.EVENT_COLUMNS), "canonical_id")
+    of = lambda c: F.get_json_object("value", f"$.{c}")
+    return said.select("key", of("event_id").alias("event_id"), of("event_type").alias("event_type"), F.coalesce(of("page_url"), F.lit("none")).alias("page_url"))
+
+
+@query(
+    "session_closure_reset",
+    over(
+        """SELECT tenant_id, canonical_id, CASE WHEN end_ts + INTERVAL 30 MINUTE <= (SELECT max(event_ts) - INTERVAL 5 SECOND FROM unified) THEN NULL ELSE session_id END AS session_id
+FROM sess QUALIFY row_number() OVER (PARTITION BY tenant_id, canonical_id ORDER BY start_ts DESC, session_id DESC) = 1""",
+        "sess",
+    ),
+)
+def _(spark, sf_dir):
+    """The last session of each person, null once it is closed."""
+    rows = written(spark, sf_dir)
+    last = stored(spark, sf_dir).windows().groupBy("tenant_id", "canonical_id").agg(F.max(F.struct("start_ts", "session_id")).alias("s"))
+    current = last.select("tenant_id", "canonical_id", "s.session_id", "s.start_ts")
+    return sessions.reset_closed(current, sessions.closed_by_stream(rows)).drop("start_ts")
+
+
+@query(
+    "display_columns",
+    over(
+        f"""SELECT event_id, CASE WHEN length(anonymous_id) > 8 THEN substr(anonymous_id, 1, 8) || '...' ELSE anonymous_id END AS short_id,
+  CASE upper(country) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRIES.items())} ELSE 'Unknown' END AS country,
+  chr(127397 + ascii(upper(country))) || chr(127397 + ascii(substr(upper(country), 2))) AS flag,
+  CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' ELSE substr(event_time, 1, 10) END AS ago
+FROM (SELECT *, CAST(trunc((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(event_ts)) / 1000) AS BIGINT) AS s FROM raw) WHERE length(country) = 2""",
+        "raw",
+    ),
+)
+def _(spark, sf_dir):
+    rows = raw_events(spark, sf_dir).where("length(country) = 2")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return rows.select("event_id", D.short_id("anonymous_id").alias("short_id"), D.country_name("country").alias("country"), D.country_flag("country").alias("flag"), D.relative_time("event_time", now).alias("ago"))
+
+
 @query("upsert_latest", over("SELECT tenant_id, canonical_id, arg_max(event_id, seq) AS event_id, max(seq) AS version FROM unified GROUP BY tenant_id, canonical_id", "unified"))
 def _(spark, sf_dir):
     rows = unified(spark, sf_dir).select("tenant_id", "canonical_id", "event_id", F.col("seq").alias("version"))
     return store.upsert(rows, "version")
 
 
-@query("retention", over("SELECT event_id, tenant_id FROM raw WHERE event_ts >= TIMESTAMP '2024-01-15' AND seq % 2 = 0", "raw"))
+@query("retention", over("SELECT event_id, tenant_id FROM raw WHERE event_ts >= TIMESTAMP '2024-01-15'", "raw"))
 def _(spark, sf_dir):
     return store.retain(raw_events(spark, sf_dir), "2024-01-22 00:00:00", days=7).select("event_id", "tenant_id")
 
@@ -339,21 +427,14 @@ def _newest(where: str, n: int) -> str:
 TENANTS = "SELECT u.tenant_id, count(*) AS event_count, count(DISTINCT canonical_id) AS user_count FROM unified u {where} GROUP BY u.tenant_id"
 
 
-def _light(spark: SparkSession, sf_dir: str) -> C.Tables:
-    """Tables for what counts persons but reads no other field of a profile."""
-    t = tables(spark, sf_dir, several=True)
-    t.profiles = profiles.lifetime(t.events)
-    return t
-
-
 @query("tenants", over(TENANTS.format(where=""), "unified"))
 def _(spark, sf_dir):
-    return C.tenants(_light(spark, sf_dir))
+    return C.tenants(tables(spark, sf_dir))
 
 
 @query("tenant", over(TENANTS.format(where=f"WHERE tenant_id = '{TENANT}'"), "unified"))
 def _(spark, sf_dir):
-    return C.tenants(_light(spark, sf_dir), TENANT)
+    return C.tenants(tables(spark, sf_dir), TENANT)
 
 
 TOTAL = "(SELECT count(*) FROM profiles {where}) AS total_count"
@@ -361,12 +442,12 @@ TOTAL = "(SELECT count(*) FROM profiles {where}) AS total_count"
 
 @query("users_page", over(f"SELECT {LISTED}, {TOTAL.format(where='')} FROM profiles ORDER BY first_seen DESC, tenant_id, canonical_id LIMIT 25 OFFSET 10", "profiles"))
 def _(spark, sf_dir):
-    return flat(C.users(tables(spark, sf_dir, with_profiles=True), None, 10))
+    return flat(C.users(tables(spark, sf_dir), None, 10))
 
 
 @query("tenant_users_page", over(f"SELECT {LISTED}, {TOTAL.format(where=f'''WHERE tenant_id = '{TENANT}' ''')} FROM profiles WHERE tenant_id = '{TENANT}' ORDER BY total_events DESC, tenant_id, canonical_id LIMIT 7 OFFSET 3", "profiles"))
 def _(spark, sf_dir):
-    return flat(C.tenant_users(tables(spark, sf_dir, with_profiles=True), TENANT, 7, 3, "total_events", "desc"))
+    return flat(C.tenant_users(tables(spark, sf_dir), TENANT, 7, 3, "total_events", "desc"))
 
 
 @query("events_filtered", _newest("event_type = 'click' AND device_type = 'mobile'", 100))
@@ -394,7 +475,7 @@ def _person(t: C.Tables) -> tuple[str, str]:
 
 @query("live_profile", over(f"SELECT {LISTED} FROM profiles WHERE canonical_id = {PERSON}", "profiles"))
 def _(spark, sf_dir):
-    t = tables(spark, sf_dir, with_profiles=True)
+    t = tables(spark, sf_dir)
     return flat(C.live_profile(t, *_person(t)))
 
 
@@ -410,7 +491,7 @@ def _(spark, sf_dir):
 WHERE canonical_id IN (SELECT canonical_id FROM (SELECT tenant_id, canonical_id, min(event_ts) AS f FROM unified GROUP BY ALL) ORDER BY f DESC, tenant_id, canonical_id LIMIT 25)) WHERE rank <= 5""", "unified"),
 )
 def _(spark, sf_dir):
-    t = _light(spark, sf_dir)
+    t = tables(spark, sf_dir)
     people = t.profiles.orderBy(F.desc("first_seen"), "tenant_id", "canonical_id").limit(25)
     return C.recent_events_of_page(t, people)
 
@@ -422,15 +503,15 @@ def _(spark, sf_dir):
 
 @query("tenant_summary", over(f"SELECT event_type, count(*) AS count FROM raw WHERE tenant_id = '{TENANT}' GROUP BY event_type", "raw"))
 def _(spark, sf_dir):
-    return C.tenant_summary(tables(spark, sf_dir, canonical=False), TENANT)
+    return C.tenant_summary(tables(spark, sf_dir), TENANT)
 
 
 def _aggregates() -> None:
     for dim in C.Dimension:
         for metric, value, exact in (("count", "count(*)", False), ("unique_sessions", "count(DISTINCT session_id)", True)):
             sql = over(f"SELECT {dim.value} AS label, {value} AS value FROM raw WHERE tenant_id = '{TENANT}' AND {dim.value} <> '' GROUP BY 1 ORDER BY value DESC, label LIMIT 100", "raw")
-            query(f"tenant_aggregate_{dim.value}_{metric}", sql)(lambda spark, sf_dir, d=dim.value, m=metric, e=exact: C.tenant_aggregate(tables(spark, sf_dir, canonical=False), TENANT, d, m, exact=e))
-    query("tenant_aggregate_unique_sessions_hll")(lambda spark, sf_dir: C.tenant_aggregate(tables(spark, sf_dir, canonical=False), TENANT, "country", "unique_sessions"))
+            query(f"tenant_aggregate_{dim.value}_{metric}", sql)(lambda spark, sf_dir, d=dim.value, m=metric, e=exact: C.tenant_aggregate(tables(spark, sf_dir), TENANT, d, m, exact=e))
+    query("tenant_aggregate_unique_sessions_hll")(lambda spark, sf_dir: C.tenant_aggregate(tables(spark, sf_dir), TENANT, "country", "unique_sessions"))
 
 
 _aggregates()
@@ -438,7 +519,7 @@ _aggregates()
 
 @query("dashboard_stats", over("SELECT count(DISTINCT tenant_id || canonical_id) AS total_users, count(*) AS total_events FROM unified", "unified"))
 def _(spark, sf_dir):
-    return C.dashboard_stats(_light(spark, sf_dir))
+    return C.dashboard_stats(tables(spark, sf_dir))
 
 
 def _over_ranges() -> None:
@@ -455,7 +536,7 @@ FROM (SELECT count(*) AS n FROM (SELECT max(event_ts) AS m FROM unified GROUP BY
 (SELECT count(*) AS n, avg(duration_sec) FILTER (duration_sec > 0) AS d FROM stored WHERE {since('session', n)}) s, (SELECT count(*) AS n FROM unified WHERE {since('event', n)}) e""",
                 "stored",
             ),
-        )(lambda spark, sf_dir, span=span: C.analytics_summary(_with_sessions(spark, sf_dir), span))
+        )(lambda spark, sf_dir, span=span: C.analytics_summary(tables(spark, sf_dir), span))
 
         def series(source: str, prefix: str, value: str, weekly: str, col: str, keys: str = "", where: str = "TRUE", n=n, bucket=bucket, week=week) -> str:
             by = f", {keys}" if keys else ""
@@ -464,20 +545,14 @@ FROM (SELECT count(*) AS n FROM (SELECT max(event_ts) AS m FROM unified GROUP BY
                 daily = f"SELECT strftime(date_trunc('week', CAST(bucket AS DATE)), '%Y-%m-%d') AS bucket{by}, {weekly} AS {col} FROM ({daily}) GROUP BY ALL"
             return over(f"SELECT bucket, {label(n)} AS label{by}, {col} FROM ({daily})", "stored" if prefix == "session" else "unified")
 
-        query(f"events_over_time_{name}", series("unified", "event", "count(*)", "CAST(sum(count) AS BIGINT)", "count", "event_type"))(lambda spark, sf_dir, span=span: C.events_over_time(tables(spark, sf_dir, canonical=False), span))
+        query(f"events_over_time_{name}", series("unified", "event", "count(*)", "CAST(sum(count) AS BIGINT)", "count", "event_type"))(lambda spark, sf_dir, span=span: C.events_over_time(tables(spark, sf_dir), span))
         query(f"users_over_time_{name}", series("unified", "event", "count(DISTINCT canonical_id)", "CAST(sum(count) AS BIGINT)", "count"))(lambda spark, sf_dir, span=span: C.users_over_time(tables(spark, sf_dir), span, exact=True))
-        query(f"sessions_over_time_{name}", series("stored", "session", "count(*)", "CAST(sum(count) AS BIGINT)", "count"))(lambda spark, sf_dir, span=span: C.sessions_over_time(tables(spark, sf_dir, with_sessions=True), span))
-        query(f"avg_session_duration_{name}", series("stored", "session", "round(avg(duration_sec), 1)", "round(avg(value), 1)", "value", where="duration_sec > 0"))(lambda spark, sf_dir, span=span: C.avg_session_duration(tables(spark, sf_dir, with_sessions=True), span))
+        query(f"sessions_over_time_{name}", series("stored", "session", "count(*)", "CAST(sum(count) AS BIGINT)", "count"))(lambda spark, sf_dir, span=span: C.sessions_over_time(tables(spark, sf_dir), span))
+        query(f"avg_session_duration_{name}", series("stored", "session", "round(avg(duration_sec), 1)", "round(avg(value), 1)", "value", where="duration_sec > 0"))(lambda spark, sf_dir, span=span: C.avg_session_duration(tables(spark, sf_dir), span))
     for what, column, f, limit in (("top_pages", "page_url", C.top_pages, "LIMIT 10"), ("browser_breakdown", "browser", C.browser_breakdown, "LIMIT 10"), ("country_breakdown", "country", C.country_breakdown, "LIMIT 10"), ("device_breakdown", "device_type", C.device_breakdown, "")):
         for span in C.TimeRange:
             sql = over(f"SELECT {column} AS label, count(*) AS count FROM (SELECT *, strftime(event_ts, '%Y-%m-%d') AS event_date, strftime(event_ts, '%Y-%m-%d %H') AS event_hour FROM raw) WHERE {since('event', span.days)} AND {column} <> '' GROUP BY 1 ORDER BY count DESC, label {limit}", "raw")
-            query(f"{what}_{span.name.lower()}", sql)(lambda spark, sf_dir, f=f, span=span: f(tables(spark, sf_dir, canonical=False), span))
-
-
-def _with_sessions(spark: SparkSession, sf_dir: str) -> C.Tables:
-    t = tables(spark, sf_dir, with_sessions=True, several=True)
-    t.profiles = profiles.lifetime(t.events)
-    return t
+            query(f"{what}_{span.name.lower()}", sql)(lambda spark, sf_dir, f=f, span=span: f(tables(spark, sf_dir), span))
 
 
 _over_ranges()
@@ -490,7 +565,7 @@ def _(spark, sf_dir):
 
 @query("event_rate_rolling", over("SELECT event_hour, n AS events, avg(n) OVER (ORDER BY event_hour ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rolling FROM (SELECT strftime(event_ts, '%Y-%m-%d %H') AS event_hour, count(*) AS n FROM raw GROUP BY 1)", "raw"))
 def _(spark, sf_dir):
-    return C.event_rate_rolling(tables(spark, sf_dir, canonical=False))
+    return C.event_rate_rolling(tables(spark, sf_dir))
 
 
 # --- store ------------------------------------------------------------------------------------------------------------
@@ -498,29 +573,29 @@ def _(spark, sf_dir):
 
 @query("events_rollup_cube", over(f"SELECT {', '.join(store.EVENT_DIMS)}, count(*) AS events, count(*) AS event_count FROM unified GROUP BY ALL", "unified"))
 def _(spark, sf_dir):
-    return store.events_rollup(tables(spark, sf_dir).events).drop("sessions_hll", "users_hll")
+    return tables(spark, sf_dir).event_cube.drop("sessions_hll", "users_hll")
 
 
 @query("sessions_rollup_cube", over(f"SELECT {', '.join(store.SESSION_DIMS)}, count(*) AS sessions, CAST(sum(duration_sec) AS BIGINT) AS duration_sec, CAST(sum(event_count) AS BIGINT) AS event_count FROM stored GROUP BY ALL", "stored"))
 def _(spark, sf_dir):
-    return store.sessions_rollup(tables(spark, sf_dir, with_sessions=True).sessions)
+    return tables(spark, sf_dir).session_cube
 
 
 @query("rollup_routed_query", over("SELECT country, event_type, count(*) AS count FROM raw WHERE tenant_id = 'tenant-1' GROUP BY ALL", "raw"))
 def _(spark, sf_dir):
-    rows = tables(spark, sf_dir, canonical=False).events
-    return store.routed_count(rows, store.events_rollup(rows), ["country", "event_type"], {"tenant_id": TENANT})[0]
+    t = tables(spark, sf_dir)
+    return store.routed_count(t.events, t.event_cube, ["country", "event_type"], {"tenant_id": TENANT})[0]
 
 
 @query("rollup_full_scan", over("SELECT os, count(*) AS count FROM raw GROUP BY ALL", "raw"))
 def _(spark, sf_dir):
-    rows = tables(spark, sf_dir, canonical=False).events
-    return store.routed_count(rows, store.events_rollup(rows), ["os"])[0]
+    t = tables(spark, sf_dir)
+    return store.routed_count(t.events, t.event_cube, ["os"])[0]
 
 
 @query("rollup_users_hll")
 def _(spark, sf_dir):
-    return store.users_from_cube(store.events_rollup(tables(spark, sf_dir).events), ["tenant_id", "event_date"])
+    return store.users_from_cube(tables(spark, sf_dir).event_cube, ["tenant_id", "event_date"])
 
 
 @query("lake_partitioned_roundtrip", over(f"SELECT {COLUMNS17} FROM capture", "capture"))

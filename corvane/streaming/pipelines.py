@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corvane.functions.columns import present
@@ -66,6 +67,76 @@ def exact_gate(events: DataFrame, lateness_ms: int = 5000) -> DataFrame:
     return keyed.groupBy("clock").transformWithState(RowGate(lateness_ms), keyed.schema, "Append", "None").drop("clock")
 
 
+def idle_tolerant(spark: SparkSession, *streams: DataFrame) -> DataFrame:
+    """Streams as one, none of which holds back the watermark by being idle.
+
+    Spark's watermark is that of all rows of a stream, so an idle partition never holds it back; of several streams the
+    slowest would, unless the session's policy is the largest. Rows of a stream that wakes up behind it are late.
+    """
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+class Debounce(StatefulProcessor):
+    """Updates of a key: the first and those by timers pass at once, those by events are held until ``delay_ms`` after the
+    first of them, and then the last is told, with all the fields that changed meanwhile."""
+
+    def __init__(self, delay_ms: int = 5000) -> None:
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", StructType([StructField("json", StringType())]))
+
+    def _tell(self, said: dict) -> Row:
+        return Row(*said)(*said.values())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = json.loads(self.held.get()[0]) if self.held.exists() else None
+        for r in rows:
+            said = r.asDict(recursive=True)
+            if said["action"] == "create" or said["trigger"] != "event":
+                # What was held is older than this, and this says all of it.
+                if held:
+                    said["changed_fields"] = [*held["changed_fields"], *(c for c in said["changed_fields"] if c not in held["changed_fields"])]
+                    held = None
+                    for t in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(t)
+                yield self._tell(said)
+            else:
+                if held:
+                    said["changed_fields"] = [*held["changed_fields"], *(c for c in said["changed_fields"] if c not in held["changed_fields"])]
+                else:
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay_ms)
+                held = said
+        if held:
+            self.held.update((json.dumps(held),))
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.held.exists():
+            held = json.loads(self.held.get()[0])
+            self.held.clear()
+            yield self._tell(held)
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(updates: DataFrame, delay_ms: int = 5000) -> DataFrame:
+    """Profile updates (a stream with canonical_id, action, trigger and changed_fields) with one for each key and delay."""
+    return updates.groupBy("canonical_id").transformWithState(Debounce(delay_ms), updates.schema, "Append", "ProcessingTime")
+
+
+def serve(updates: DataFrame, receivers: Broadcast, checkpoint: str) -> DataStreamWriter:
+    """A stream whose rows go to whoever has subscribed to ``receivers``: the consumer behind subscriptions."""
+    return updates.writeStream.foreachBatch(receivers).option("checkpointLocation", checkpoint)
+
+
 class Identity(StatefulProcessor):
     """The identity rule over a tenant's two maps; rows of a batch in the order of time, then id."""
 

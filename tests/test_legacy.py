@@ -38,7 +38,7 @@ def test_profile_create_update_and_changed_fields():
     first = p.publish("create", "event", "2024-01-10", NOON)
     assert sorted(first) == sorted(PROFILE_FULL.fieldNames()) and len(first) == 33 and first["changed_fields"][0] == "canonical_id"
     assert not p.add(event(event_type="page_view", page_url="/a", session_id="s1"), NOON + 1000, NOON)
-    assert p.publish("update", "event", "2024-01-10", NOON)["changed_fields"] == ["total_events", "page_views", "last_page", "top_pages"]
+    assert p.publish("update", "event", "2024-01-10", NOON)["changed_fields"] == ["total_events", "last_seen", "page_views", "last_page"]
 
 
 def test_transitions_timeout_and_decay():
@@ -55,6 +55,18 @@ def test_transitions_timeout_and_decay():
     assert list(p.timers) == ["session"]  # activity calls off the other decays
 
 
+def test_a_timeout_forgets_the_session_and_events_without_one_lengthen_it():
+    p = Profile()
+    p.add(event(session_id="s"), NOON, NOON)
+    p.add(event(session_id=None), NOON + 60_000, NOON)
+    (out,) = p.fire(NOON + 60_000 + GAP_MS, NOON)
+    assert (out["avg_session_duration_sec"], out["total_sessions"]) == (60, 1)
+    p.add(event(session_id="s"), NOON + DAY_MS, NOON + DAY_MS)
+    out = p.publish("update", "event", "2024-01-11", NOON + DAY_MS)
+    assert (out["total_sessions"], out["current_session_active"]) == (2, True)
+    assert out["changed_fields"] == ["total_events", "total_sessions", "last_seen", "clicks"]
+
+
 def test_times_beyond_reason_are_the_clocks():
     p = Profile()
     p.add(event(), NOON + 61_000, NOON)

@@ -48,7 +48,7 @@ def test_labels_and_times(spark):
 
 @pytest.fixture(scope="module")
 def tables(spark, sf):
-    return registry.tables(spark, sf, with_sessions=True, with_profiles=True)
+    return registry.tables(spark, sf)
 
 
 def test_sketches_are_near_and_merge_to_one_pass(spark, tables):
@@ -103,7 +103,7 @@ def test_injection_is_refused(tables):
 
 def test_stats_and_live_lists(spark, tables):
     rows, told = stats.run(C.tenants(tables), "STAR_TREE")
-    assert told.rows == len(rows) and told.path == "STAR_TREE" and "Aggregate" in told.plan
+    assert told.rows == len(rows) and told.path == "STAR_TREE" and "Aggregate" in told.sql
     shown = tables.profiles.orderBy("first_seen").limit(30)
     out = pipelines.merged_list(shown, shown.limit(1).withColumn("first_seen", F.lit(9_999_999_999_999)))
     assert out.count() == 25 and out.first()["first_seen"] == 9_999_999_999_999
