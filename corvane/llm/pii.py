@@ -22,13 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpoint, fresh, scratch, table
+from corvane.llm.common import checkpoint, fresh, passes, scratch, sieve, table
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD = ("removed", "generalised")
-#: Words on each side of an entity that are its context, threshold, candidate terms up to which their hashes (8 bytes each)
-#: are sent to every task, words whose terms a task remembers.
-CONTEXT, THRESHOLD, BROADCAST, HELD, SEED = 10, 0.9, 200_000, 1 << 18, 42
+#: Words on each side of an entity that are its context, threshold, words whose terms a task remembers.
+CONTEXT, THRESHOLD, HELD, SEED = 10, 0.9, 1 << 18, 42
 #: What is stripped from a word's ends before it counts as a term.
 MARKS = ".,;:!?()[]{}<>\"'«»„“”‚‘’…|*#%&$+=/\\-_~^`@"
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": ""}
@@ -185,23 +184,23 @@ def _extract(docs: DataFrame, text: str, names: tuple[str, str, str], keep: bool
 
 
 def _frequencies(corpus: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """term, df_term: the documents of ``corpus`` that have each of the ``wanted`` terms (others may be counted too).
+    """term, df_term: the documents of ``corpus`` that have each of the ``wanted`` terms (a few others may be counted too).
 
-    Terms are counted by batch before they are dealt; where few are asked for, the others go before that.
+    Terms are counted by batch before they are dealt, and a sieve of those asked for holds most others back.
     """
-    few = wanted.count() <= BROADCAST
-    sent = corpus.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()) if few else None)
+    sent = corpus.sparkSession.sparkContext.broadcast(sieve(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, asked = _Terms(), sent.value
+        terms = _Terms()
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(0):
-                said = set(map(terms.__getitem__, set(_WORD.findall(t.as_py() or ""))))
-                n.update(said if asked is None else asked & said)
+                n.update(set(map(terms.__getitem__, set(_WORD.findall(t.as_py() or "")))))
             del n[0]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+            codes, counts = np.array(list(n), np.int64), np.array(list(n.values()), np.int64)
+            keep = passes(sent.value, codes)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(codes[keep]), pa.array(counts[keep])], names=["term", "n"])
 
     return corpus.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df_term"))
 
