@@ -11,7 +11,7 @@ from corvane.llm.bpe import sequences
 from corvane.llm.common import checkpoint, fresh, table
 
 #: Longest sequence, buckets, tokens a batch, sequences numbered by one task.
-MAX_LENGTH, BUCKETS, BUDGET, NUMBERED = 2048, 8, 65536, 8192
+MAX_LENGTH, BUCKETS, BUDGET, NUMBERED = 2048, 8, 65536, 2048
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import let, words
+from corvane.llm.common import fresh, let, words
 
 #: Symbols that count as markup noise, and frequent function words of the languages served.
 SYMBOLS = "#*$%&|<>"
@@ -57,13 +57,13 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars", "n_words", low=2.0, high=16.0),
     Rule("symbols a word", "n_symbols", "n_words", high=0.2),
-    Rule("shouted words", "n_shouted", "n_words", high=0.5),
+    Rule("exclaimed words", "n_exclaimed", "n_words", high=0.5),
     Rule("stop words", "n_stop", "n_words", low=0.02, least=30),
     Rule("duplicate lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("ellipsis lines", "n_ellipsis", "n_lines", high=0.5),
     Rule("bullet lines", "n_bullets", "n_lines", high=0.9),
 )
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_shouted", "n_ellipsis", "n_bullets")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_exclaimed", "n_ellipsis", "n_bullets")
 
 
 def _repeat_words(ws: Column) -> Column:
@@ -107,7 +107,7 @@ def statistics(text: Column) -> Column:
             "n_repeat_words": _repeat_words(ws),
             "n_lines": F.size(ls),
             "n_stop": count(ws, lambda w: F.lower(w).isin(sorted(set(STOP_WORDS)))),
-            "n_shouted": count(ws, lambda w: F.endswith(w, F.lit("!!"))),
+            "n_exclaimed": count(ws, lambda w: F.endswith(w, F.lit("!!"))),
             "n_ellipsis": count(ls, lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("…"))),
             "n_bullets": count(ls, lambda x: F.startswith(x, F.lit("- ")) | F.startswith(x, F.lit("* ")) | F.startswith(x, F.lit("• "))),
         }
@@ -120,7 +120,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """Adds the struct ``into``: STATS, base_failed, kept, and failed (the names of the method's rules that fail).
 
     Null and empty texts have no words, so they fail the base rule. Every row is judged alone: repeated rows
-    get equal verdicts, an empty table gives an empty one, and other columns pass through untouched.
+    get equal verdicts, an empty table gives an empty one, and other columns pass through untouched: where ``docs`` has a
+    column ``into``, the verdict's name gets underscores in front and it is the last column.
     """
 
     def verdict(s: Column) -> Column:
@@ -128,14 +129,13 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         failed = F.array_compact(F.array(*(F.when(~r.column(s), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
         return F.struct(*(s[k].alias(k) for k in STATS), base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
 
+    (into,) = fresh(docs, into)
     return docs.withColumn(into, let(statistics(F.col(text)), verdict))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that all rules keep, with the columns of ``docs``."""
-    into = "quality"
-    while into in docs.columns:
-        into = f"_{into}"
+    (into,) = fresh(docs, "quality")
     return judge(docs, text, rules, into).where(F.col(into)["kept"]).drop(into)
 
 
@@ -159,7 +159,7 @@ s AS (
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(ls) AS BIGINT) AS n_lines,
     CAST(len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop,
-    CAST(len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS BIGINT) AS n_shouted,
+    CAST(len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS BIGINT) AS n_exclaimed,
     CAST(len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS BIGINT) AS n_ellipsis,
     CAST(len(list_filter(ls, lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '• '))) AS BIGINT) AS n_bullets
   FROM t JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN rep USING (rid)),
