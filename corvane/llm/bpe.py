@@ -7,6 +7,7 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -126,9 +127,20 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     return _mapped(docs, text, {into: "array<int>"}, path, pattern, of)
 
 
+def packed(ids: list[int], vocabulary: int) -> bytes:
+    """Token ids in a row, little-endian: two bytes each where the vocabulary has at most 65,536, else four."""
+    return np.array(ids, "<u2" if vocabulary <= 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, vocabulary: int) -> list[int]:
+    return np.frombuffer(raw, "<u2" if vocabulary <= 1 << 16 else "<u4").tolist()
+
+
 def sequences(docs: DataFrame, path: str, pattern: str, max_length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, chunk, start (tokens before it), n_tokens, ids: a text's tokens in sequences of at most ``max_length``.
 
+    ids are packed (see packed), as they are moved and stored several times.
+
     None is lost: a text of more tokens gives several sequences. Null and empty texts give one without tokens. Texts are
     encoded piece by piece and rows leave as they fill, so memory doesn't grow with a text.
     """
@@ -154,7 +166,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, max_length: int, doc_id:
             def rows() -> pa.RecordBatch:
                 sizes = pa.array([len(x) for x in ids], pa.int64())  # noqa: B023
                 starts = pa.array([c * max_length for c in chunks], pa.int64())  # noqa: B023
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(chunks, pa.int32()), starts, sizes, pa.array(ids, pa.list_(pa.int32()))], names=names)  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(chunks, pa.int32()), starts, sizes, pa.array([packed(x, enc.n_vocab) for x in ids], pa.binary())], names=names)  # noqa: B023
 
             for k, t in enumerate(batch.column(1)):
                 for c, part in enumerate(cut(enc, t.as_py())):
@@ -169,7 +181,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, max_length: int, doc_id:
                 yield rows()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, chunk int, start bigint, n_tokens bigint, ids array<int>")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, chunk int, start bigint, n_tokens bigint, ids binary")
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -98,7 +98,7 @@ def pack(rows: DataFrame, n_tokens: str = "n_tokens", buckets: int = BUCKETS, bu
 def pack_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
     """doc_id, chunk, start, n_tokens, ids, bucket_length, batch_id: texts as token sequences (see bpe.sequences), packed.
 
-    The rows of a batch_id, with their ids, are a batch to train on: pad each to bucket_length.
+    The rows of a batch_id, with their ids (bpe.unpacked reads them), are a batch to train on: pad each to bucket_length.
     """
     return pack(sequences(docs, path, pattern, max_length, doc_id, text))
 

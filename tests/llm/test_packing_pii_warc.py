@@ -50,8 +50,9 @@ def test_packing(spark, sf, numbered):
     parts, sizes = {}, {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["chunk"])):
         assert r["start"] == len(parts.setdefault(r["doc_id"], [])) == 512 * r["chunk"]
-        parts[r["doc_id"]] += r["ids"]
-        assert len(r["ids"]) == r["n_tokens"] <= min(r["bucket_length"], 512)
+        ids = bpe.unpacked(bytes(r["ids"]), enc.n_vocab)
+        parts[r["doc_id"]] += ids
+        assert len(ids) == r["n_tokens"] <= min(r["bucket_length"], 512)
         sizes.setdefault(r["bucket_length"], {}).setdefault(r["batch_id"], []).append(r["n_tokens"])
     assert parts == {r["doc_id"]: enc.encode_ordinary(r["text"] or "") for r in docs.collect()}
     ids = sorted(b for x in sizes.values() for b in x)
@@ -63,6 +64,11 @@ def test_packing(spark, sf, numbered):
     assert sorted(sizes) == K.optimal_boundaries(lengths, [sum(r["n_tokens"] == n for r in got) for n in lengths])
 
 
+def test_packed_ids():
+    assert bpe.packed([1, 65535], 1 << 16) == b"\x01\x00\xff\xff" and bpe.packed([], 5) == b""
+    assert bpe.unpacked(bpe.packed([7, 70_000], 100_000), 100_000) == [7, 70_000]
+
+
 def test_packing_of_nulls_empties_and_repeats(spark):
     docs = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, " x" * 5000), (4, " x" * 1024)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
