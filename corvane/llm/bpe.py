@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import fresh, table
+from corvane.llm.common import fresh, lean, table
 
 #: Code points encoded at a time, and the part of a text that is searched for a boundary before a piece is let grow; white
 #: space beyond which a run isn't left to the regular expression, whose stack it would overflow.
@@ -174,14 +174,14 @@ def sequences(docs: DataFrame, path: str, pattern: str, max_length: int, doc_id:
                     chunks.append(c)
                     ids.append(part)
                     n += len(part)
-                    if n >= 1 << 20:
+                    if n >= 1 << 18:
                         yield rows()
                         of, chunks, ids, n = [], [], [], 0
             if of:
                 yield rows()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, chunk int, start bigint, n_tokens bigint, ids binary")
+    return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, chunk int, start bigint, n_tokens bigint, ids binary")
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +76,22 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives freed memory back to the system when its task ends: workers outlive their tasks,
+    and several share a machine."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return ended
+
+
 #: Bits of a sieve: 2 MB, whatever it is made of.
 SIEVE = 1 << 24
 
@@ -86,8 +104,9 @@ def mixed(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sieve(codes: DataFrame) -> np.ndarray:
-    """A table of SIEVE bits that has the bit of every code in ``codes`` (one bigint column), as 64-bit words.
+def sieve(codes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """A table of SIEVE bits that has the bit of every code in ``codes``, as 64-bit words. of: the codes of a batch (else
+    its first column, a bigint).
 
     Broadcast, it keeps most rows that have no counterpart in ``codes`` from a shuffle; the join behind it decides. What
     comes to the driver is SIEVE / 64 words at most. The more codes, the less it holds back; it never holds back a match.
@@ -96,7 +115,7 @@ def sieve(codes: DataFrame) -> np.ndarray:
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(SIEVE // 64, np.uint64)
         for batch in batches:
-            at = mixed(batch.column(0).to_numpy()) % np.uint64(SIEVE)
+            at = mixed(of(batch) if of else batch.column(0).to_numpy()) % np.uint64(SIEVE)
             np.bitwise_or.at(held, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].astype(np.int64))], names=["at", "word"])
@@ -107,6 +126,20 @@ def sieve(codes: DataFrame) -> np.ndarray:
     return out
 
 
+def holder(table: np.ndarray) -> Callable[[int], bool]:
+    """passes() for one code at a time."""
+    raw, full = table.astype("<u8").tobytes(), (1 << 64) - 1
+
+    def may(code: int) -> bool:
+        x = (code + 0x9E3779B97F4A7C15) & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        at = (x ^ x >> 31) % SIEVE
+        return bool(raw[at >> 3] >> (at & 7) & 1)
+
+    return may
+
+
 def passes(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Which codes may be in the sieve ``table``."""
     at = mixed(codes) % np.uint64(SIEVE)

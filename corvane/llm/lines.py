@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpoint, fresh, mixed, passes, scratch, sieve, sifted, table
+from corvane.llm.common import checkpoint, fresh, lean, mixed, passes, scratch, sieve, sifted, table
 from corvane.llm.components import components
 
 #: Bits within which a pair is sure to share a mask, blocks, bits within which such a pair is a candidate.
@@ -120,7 +120,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 held = [batch.column(0).take(back[some]), batch.column(1).take(back[some]), pa.array(line_no[some], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*held, *(pa.array(x[some]) for x in (keys[:, 0], keys[:, 1], fps))], names=["doc_id", "th", "line_no", "k1", "k2", "fp"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, k1 bigint, k2 bigint, fp bigint")
+    return docs.select("doc_id", "th", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, line_no int, k1 bigint, k2 bigint, fp bigint")
 
 
 def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -315,11 +315,10 @@ def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     document = F.xxhash64("doc_id", "th").alias("document")
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["c"])
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        return _places(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
-    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted.select(document, "line_no").mapInArrow(codes, "c bigint")))
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted.select(document, "line_no"), codes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +334,7 @@ def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at = pa.array(of)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(held, pa.string())], names=["d", "h", "l", "line"])
 
-    found = docs.select("doc_id", "th", "text", document).mapInArrow(pick, f"d {docs.schema['doc_id'].dataType.simpleString()}, h bigint, l int, line string")
+    found = docs.select("doc_id", "th", "text", document).mapInArrow(lean(pick), f"d {docs.schema['doc_id'].dataType.simpleString()}, h bigint, l int, line string")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("line_no") == F.col("l"))
     return found.join(wanted, same).select("node", "rank", "line").dropDuplicates(["node"])
 
@@ -354,7 +353,7 @@ def _dead(docs: DataFrame, distinct: DataFrame, path: str, similarity: float, sh
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["shard", "fp", "stored", "node"])
 
     dealt = shards.repartition("shard").sortWithinPartitions("shard", "fp")
-    dealt.mapInArrow(active, "shard bigint, fp bigint, stored boolean, node bigint").write.parquet(f"{path}/near")
+    dealt.mapInArrow(lean(active), "shard bigint, fp bigint, stored boolean, node bigint").write.parquet(f"{path}/near")
     near = spark.read.parquet(f"{path}/near")
 
     # Ranks go by the first occurrence, so a group's smallest rank is the line that stays.
@@ -365,7 +364,7 @@ def _dead(docs: DataFrame, distinct: DataFrame, path: str, similarity: float, sh
     _lines_of(docs, wanted).write.parquet(f"{path}/texts")
     verify = near.join(spark.read.parquet(f"{path}/texts"), "node").select("shard", "fp", "stored", "rank", "line")
     verify = verify.repartition("shard").sortWithinPartitions("shard", F.desc("stored"), "rank")
-    groups = components(verify.mapInArrow(_verified(REACH, similarity), "a bigint, b bigint"))
+    groups = components(verify.mapInArrow(lean(_verified(REACH, similarity)), "a bigint, b bigint"))
     return wanted.join(groups.where("node <> root").select(F.col("node").alias("rank")), "rank", "left_semi").select("k1", "k2")
 
 

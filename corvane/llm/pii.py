@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpoint, fresh, passes, scratch, sieve, table
+from corvane.llm.common import checkpoint, fresh, holder, lean, scratch, sieve, table
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD = ("removed", "generalised")
-#: Words on each side of an entity that are its context, threshold, words whose terms a task remembers.
-CONTEXT, THRESHOLD, HELD, SEED = 10, 0.9, 1 << 18, 42
+#: Words on each side of an entity that are its context, threshold, words whose terms a task remembers,
+#: parts of the corpus of which one gives the first lower bounds.
+CONTEXT, THRESHOLD, HELD, SEED, PARTS = 10, 0.9, 1 << 16, 42, 8
 #: What is stripped from a word's ends before it counts as a term.
 MARKS = ".,;:!?()[]{}<>\"'«»„“”‚‘’…|*#%&$+=/\\-_~^`@"
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": ""}
@@ -109,11 +110,17 @@ def _code(text: str) -> int:
 
 
 class _Terms(dict):
-    """By word: the 64-bit code of its term, or 0 if it is none; forgets what it knows when it is full."""
+    """By word: the 64-bit code of its term, or 0 if it is none (or ``may`` says no); forgets all when it is full."""
+
+    def __init__(self, may: Callable[[int], bool] | None = None) -> None:
+        super().__init__()
+        self.may = may
 
     def __missing__(self, word: str) -> int:
         term = term_of(word)
         code = _code(term) if term else 0
+        if code and self.may and not self.may(code):
+            code = 0
         if len(self) >= HELD:
             self.clear()
         if len(word) < 64:
@@ -180,29 +187,27 @@ def _extract(docs: DataFrame, text: str, names: tuple[str, str, str], keep: bool
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in positions), *added], names=[*(f.name for f in held), *names])
 
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in held]
-    return docs.mapInArrow(run, ", ".join([*ddl, *(f"`{n}` {t}" for n, t in zip(names, (_SPANS, _PAIRS, _PLACES), strict=True))]))
+    return docs.mapInArrow(lean(run), ", ".join([*ddl, *(f"`{n}` {t}" for n, t in zip(names, (_SPANS, _PAIRS, _PLACES), strict=True))]))
 
 
-def _frequencies(corpus: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """term, df_term: the documents of ``corpus`` that have each of the ``wanted`` terms (a few others may be counted too).
+def _frequencies(corpus: DataFrame, text: str, wanted: DataFrame, into: str) -> DataFrame:
+    """term, ``into``: the documents of ``corpus`` that have each of the ``wanted`` terms (a few others may be counted too).
 
     Terms are counted by batch before they are dealt, and a sieve of those asked for holds most others back.
     """
     sent = corpus.sparkSession.sparkContext.broadcast(sieve(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms()
+        terms = _Terms(holder(sent.value))
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(0):
                 n.update(set(map(terms.__getitem__, set(_WORD.findall(t.as_py() or "")))))
             del n[0]
-            codes, counts = np.array(list(n), np.int64), np.array(list(n.values()), np.int64)
-            keep = passes(sent.value, codes)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(codes[keep]), pa.array(counts[keep])], names=["term", "n"])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    return corpus.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df_term"))
+    return corpus.select(text).mapInArrow(lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias(into))
 
 
 def _revealing(corpus: DataFrame, text: str, marked: DataFrame, near: str, threshold: float) -> DataFrame:
@@ -218,10 +223,14 @@ def _revealing(corpus: DataFrame, text: str, marked: DataFrame, near: str, thres
         pmi = F.log(F.lit(total) * F.col("joint") / (F.col("df_entity").cast("double") * (F.col(df_term) + 1)))
         return (ic > 0) & (pmi >= ic * threshold)
 
-    # PMI falls as a term's frequency rises, so a lower bound of that frequency, the documents where the term is near an
-    # entity, rules out pairs for good. The count over all documents is taken of the terms that are left.
+    # PMI falls as a term's frequency rises, so any lower bound of that frequency rules out pairs for good: first the
+    # documents where the term is near an entity, then its count in one part of the corpus. Common words go by these, and
+    # the count over all documents is taken of rare terms only.
     joint = checkpoint(joint.join(entity, "entity").join(near_term, "term").where(reveals("df_near")).drop("df_near"))
-    df_term = _frequencies(corpus, text, checkpoint(joint.select("term").distinct()))
+    part = corpus.where(F.pmod(F.xxhash64(text), F.lit(PARTS)) == 0)
+    least = _frequencies(part, text, joint.select("term").distinct(), "df_least")
+    joint = checkpoint(joint.join(least, "term", "left").where(F.col("df_least").isNull() | reveals("df_least")).drop("df_least"))
+    df_term = _frequencies(corpus, text, joint.select("term").distinct(), "df_term")
     kind = F.when(F.col("joint") >= F.col("df_term"), METHOD[0]).otherwise(METHOD[1])
     return joint.join(df_term, "term").where(reveals("df_term")).select("entity", "term", kind.alias("kind"))
 

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from corvane.llm import common as C
 from corvane.llm import lines as L
 from corvane.llm import simhash as S
 from corvane.llm.components import components
@@ -255,3 +256,13 @@ def test_lines_against_brute_force(spark, shard):
 def test_no_lines(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert L.duplicates(df).count() == 0 and L.dedup_lines(df).columns == df.columns
+
+
+def test_a_sieve_holds_no_match_back(spark):
+    rng = np.random.default_rng(4)
+    codes = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    table = C.sieve(spark.createDataFrame([(int(c),) for c in codes[:2000]], "c bigint").repartition(3))
+    assert C.passes(table, codes[:2000]).all() and C.passes(table, codes[2000:]).mean() < 0.01
+    may = C.holder(table)
+    assert [may(int(c)) for c in codes] == C.passes(table, codes).tolist()
+    assert not C.sieve(spark.createDataFrame([], "c bigint")).any()
