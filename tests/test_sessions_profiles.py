@@ -83,10 +83,11 @@ def test_zero_length_closed_session_averages_zero(spark):
 
 
 def test_changed_fields_and_actions(spark):
-    old = profiles.snapshot(events(spark, [at("00:00:00.000")]))
-    new = profiles.snapshot(events(spark, [at("00:00:00.000"), {**at("00:00:01.000"), "browser": "x"}, {**at("00:00:01.000"), "canonical_id": "d"}]))
+    of = lambda rows: profiles.with_sessions(profiles.snapshot(rows), rows)
+    old = of(events(spark, [at("00:00:00.000")]))
+    new = of(events(spark, [at("00:00:00.000"), {**at("00:00:01.000"), "browser": "x"}, {**at("00:00:01.000"), "canonical_id": "d"}]))
     got = {r["canonical_id"]: (r["action"], r["changed_fields"]) for r in profiles.changed_fields(new, old).collect()}
-    assert got["c"] == ("update", ["total_events", "clicks", "last_browser"])
+    assert got["c"] == ("update", ["total_events", "last_seen", "clicks", "last_browser"])
     assert got["d"] == ("create", list(profiles.ON_CREATE))
     assert {r["canonical_id"]: r["action"] for r in profiles.with_action(new, old).collect()} == {"c": "update", "d": "create"}
 
