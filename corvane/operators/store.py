@@ -94,21 +94,10 @@ def users_from_cube(cube: DataFrame, dims: list[str]) -> DataFrame:
     return cube.groupBy(*dims).agg(F.hll_sketch_estimate(F.hll_union_agg("users_hll")).alias("users"))
 
 
-def spread(rows: DataFrame, keys: list[str], day, per_task: int = FILE_ROWS) -> DataFrame:
-    """``rows`` dealt by ``keys``, day and a salt of as many values as their count asks for, so a hot tenant or day is many
-    tasks and a quiet one a single file."""
-    rows = rows.withColumn("_day", day)
-    counts = rows.groupBy(*keys, "_day").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_salts")).where("_salts > 1")
-    large = [F.col(f"_k{k}").eqNullSafe(F.col(c)) for k, c in enumerate((*keys, "_day"))]
-    counts = counts.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate((*keys, "_day"))), "_salts")
-    condition = large[0]
-    for c in large[1:]:
-        condition = condition & c
-    joined = rows.join(counts, condition, "left")
-    out = [c for c in rows.columns if c != "_day"]
-    plain = [f.name for f in rows.schema.fields if f.name != "_day" and f.dataType.typeName() in ("string", "long", "integer", "timestamp_ntz")]
-    salt = F.pmod(F.xxhash64(*plain), F.coalesce("_salts", F.lit(1)))
-    return joined.repartition(*keys, "_day", salt).select(*out)
+def spread(rows: DataFrame, keys: list[str], day) -> DataFrame:
+    """``rows`` dealt by ``keys`` and day, with adaptive execution splitting what is large and joining what is small by the
+    sizes it has measured: a hot tenant or day is many tasks, and nothing is counted beforehand."""
+    return rows.withColumn("_day", day).hint("rebalance", *map(F.col, [*keys, "_day"])).drop("_day")
 
 
 def write_lake(unified: DataFrame, path: str, mode: str = "append") -> None:

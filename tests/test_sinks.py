@@ -107,15 +107,17 @@ def test_a_source_that_changes_is_read_again(spark, tmp_path):
     assert Stored(spark, str(tmp_path / "x"), lambda: None).source != before
 
 
-def test_hot_tenants_are_many_files(spark):
-    rows = spark.range(1000).select(F.col("id").cast("string").alias("event_id"), F.when(F.col("id") < 900, "hot").otherwise("quiet").alias("tenant_id"))
-    dealt = store.spread(rows, ["tenant_id"], F.lit("2024-01-01"), per_task=100)
-    assert dealt.columns == rows.columns and dealt.count() == 1000
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a thousand rows would become one task
+def test_hot_tenants_are_many_tasks(spark, tmp_path):
+    rows = spark.range(200_000, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256).alias("event_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise("quiet").alias("tenant_id"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1m")
     try:
-        assert dealt.where("tenant_id = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+        dealt = store.spread(rows, ["tenant_id"], F.lit("2024-01-01"))
+        assert dealt.columns == rows.columns
+        dealt.write.partitionBy("tenant_id").parquet(f"{tmp_path}/out")
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "out" / "tenant_id=hot").glob("*.parquet"))) > 3 and spark.read.parquet(f"{tmp_path}/out").count() == 200_000
 
 
 @pytest.mark.parametrize(("text", "want"), [("2024-01-01T00:00:58Z", "just now"), ("2024-01-01 00:00:01.5", "58s ago"), ("2023-12-31 23:00:00", "1h ago"), ("2023-12-02 00:00:00", "30d ago"), ("2023-12-03 00:01:00.1", "28d ago"), ("2024-01-02 00:00:00", "just now"), ("soon", "soon"), (None, None)])
