@@ -79,12 +79,13 @@ def test_identity_stream_equals_batch_across_a_restart(spark, tmp_path):
     assert got == want and len(got) == len(rows) and sum(1 for _, m in got.values() if m) == 2
 
 
-def test_profile_store_equals_batch_and_refreshes_quiet_keys(spark, tmp_path):
+@pytest.mark.parametrize("compact", [64, 1])
+def test_profile_store_equals_batch_and_refreshes_quiet_keys(spark, tmp_path, compact):
     rows = [
         at("10:00:00.000", page_url="/a"), at("10:00:05.000", page_url="/b", session_id="s"), at("11:00:00.000", anonymous_id="b", session_id="z"),
         {"event_time": "2024-01-02 00:00:01.000", "anonymous_id": "b", "session_id": "z"},
     ]
-    keeper = ProfileStore(spark, str(tmp_path / "store"), buckets=4)
+    keeper = ProfileStore(spark, str(tmp_path / "store"), buckets=4, compact=compact)
     stream = pipelines.admitted(source(spark, feed(tmp_path / "in", rows))).withColumn("canonical_id", F.col("anonymous_id"))
     q = stream.writeStream.foreachBatch(keeper).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -96,6 +97,14 @@ def test_profile_store_equals_batch_and_refreshes_quiet_keys(spark, tmp_path):
     assert now["a"]["events_1d"] == 0 and now["a"]["avg_session_duration_sec"] == 5.0 and now["b"]["events_1d"] == 1
     told = [(r["batch"], r["canonical_id"], r["action"]) for r in keeper.updates().orderBy("batch", "canonical_id").collect()]
     assert told[0][1:] == ("a", "create") and told[1][1:] == ("a", "update") and ("b", "create") in [t[1:] for t in told]
+    # A batch that is repeated, and one without rows, change nothing.
+    last = max(t[0] for t in told)
+    held, empty = pick(keeper.current()), events.drop("seq").limit(0)
+    again = spark.read.option("basePath", str(tmp_path / "store/events")).parquet(str(tmp_path / f"store/events/batch={last}")).drop("seq", "bucket", "batch")
+    keeper(spark.createDataFrame(again.collect(), again.schema), last)
+    assert pick(keeper.current()) == held and keeper.updates().count() == len(told)
+    keeper(empty, last + 1)
+    assert pick(keeper.current()) == held and keeper.updates().count() == len(told)
 
 
 def profile(**over):
