@@ -596,6 +596,38 @@ def _(spark, sf_dir):
     return store.users_from_cube(tables(spark, sf_dir).event_cube, ["tenant_id", "event_date"])
 
 
+def _near(exact: DataFrame, estimated: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The exact rows, and near: whether the sketch's estimate is within five standard errors, or 2, of the value."""
+    estimate = estimated.select(*keys, F.col(value).alias("estimate"))
+    allowed = F.greatest(F.lit(2.0), F.col(value) * (5 * 1.04 / 2 ** (store.HLL_LOG2M / 2)))
+    near = F.coalesce(F.abs(F.col("estimate") - F.col(value)) <= allowed, F.lit(False)).alias("near")
+    return exact.join(estimate, keys, "left").select(*keys, value, near)
+
+
+def _near_sql(sql: str) -> str:
+    return f"SELECT *, TRUE AS near FROM ({sql})"
+
+
+@query("hll_daily_users_bounds", _near_sql(ORACLES["users_over_time_month"]))
+def _(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return _near(C.users_over_time(t, TimeRange.MONTH, exact=True), C.users_over_time(t, TimeRange.MONTH), ["bucket", "label"], "count")
+
+
+@query("rollup_users_hll_bounds", _near_sql(over("SELECT tenant_id, strftime(event_ts, '%Y-%m-%d') AS event_date, count(DISTINCT canonical_id) AS users FROM unified GROUP BY ALL", "unified")))
+def _(spark, sf_dir):
+    t, keys = tables(spark, sf_dir), ["tenant_id", "event_date"]
+    exact = t.events.groupBy(*keys).agg(F.count_distinct("canonical_id").alias("users"))
+    return _near(exact, store.users_from_cube(t.event_cube, keys), keys, "users")
+
+
+@query("tenant_aggregate_unique_sessions_hll_bounds", _near_sql(ORACLES["tenant_aggregate_country_unique_sessions"]))
+def _(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    exact, estimated = (C.tenant_aggregate(t, TENANT, "country", "unique_sessions", exact=e) for e in (True, False))
+    return _near(exact, estimated, ["label"], "value")
+
+
 @query("lake_partitioned_roundtrip", over(f"SELECT {COLUMNS17} FROM capture", "capture"))
 def _(spark, sf_dir):
     path = f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}"
